@@ -65,7 +65,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def ranked_within(
-    df: DataFrame, keys: list[str], order: list[str], rank: str, counts: DataFrame, rows_per_part: int = 20_000, small_counts: bool = False
+    df: DataFrame, keys: list[str], order: list[str], rank: str, counts: DataFrame, rows_per_part: int = 500, small_counts: bool = False
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2, … without one window per key.
 
