@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "decontamination", "packing", "token_files", "url_filter"]
+MODULES = ["sharding", "language_id", "decontamination", "packing", "token_files", "url_filter"]
 
 
 def _gather(name: str) -> dict:
