@@ -37,11 +37,12 @@ class _Pieces(dict):
 class Encoder:
     """``encode(texts)`` gives an array of ids for each text, in order."""
 
-    def __init__(self, path: str, most_pieces: int = 200_000):
+    def __init__(self, path: str, most_pieces: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_pieces
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._reset()
 
     def _reset(self) -> None:
@@ -59,18 +60,21 @@ class Encoder:
         if n > len(self.start):
             grown = max(n, 2 * len(self.start))
             self.start, self.length, self.odd = (np.resize(x, grown) for x in (self.start, self.length, self.odd))
-        texts, at = [], n - len(fresh)
-        for k, piece in enumerate(fresh, at):
+        first, texts = n - len(fresh), []
+        for k, piece in enumerate(fresh, first):
             body = piece[1:] if piece[:1] in (LINE, FIRST) else piece
-            self.odd[k] = not body or body[0].isspace() or body[-1].isspace() or "\u180e" in body
-            texts.append(body if piece[:1] == FIRST else ("\n" if piece[:1] == LINE else " ") + body)
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), at):
-            ids = e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
+            odd = self.odd[k] = not body or body[0].isspace() or body[-1].isspace() or "\u180e" in body
+            texts.append("x" if odd else body if piece[:1] in (LINE, FIRST) else " " + body)
+        # before each of these texts the line end is a token of its own, and none has one inside
+        (coded,) = self.tokenizer.encode_batch_fast(["\n" + "\n".join(texts)], add_special_tokens=False)
+        ids = np.array(coded.ids, np.uint32)
+        ends = np.flatnonzero(ids == self.line)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        begin = ends + 1 - np.array([piece[:1] == LINE for piece in fresh])  # that piece has its line end
+        self.start[first:n], self.length[first:n] = self.used + begin, np.append(ends[1:], len(ids)) - begin
+        self.used += len(ids)
         self.pieces.fresh = []
 
     def _numbers(self, text: str) -> Iterator[np.ndarray]:
