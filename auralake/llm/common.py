@@ -157,3 +157,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``ids`` (one column): all that
+    are, few that are not. A cheap filter before an exact join.
+
+    The filter is one hash bit an id, in ``2 ** (bits - 6)`` words at most; so
+    what is broadcast has a fixed bound (4 MB of words for 24 bits). With very
+    many ids it fills up and lets all rows pass, to the exact join.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    at = ids.select(spot(F.col(ids.columns[0])).alias("_spot"))
+    words = at.groupBy(F.shiftright("_spot", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(_spot & 63))")).alias("_bits")
+    )
+    return (
+        df.withColumn("_spot", spot(F.col(key)))
+        .withColumn("_word", F.shiftright("_spot", 6))
+        .join(F.broadcast(words), "_word")
+        .filter(F.expr("getbit(_bits, int(_spot & 63)) = 1"))
+        .drop("_word", "_spot", "_bits")
+    )
