@@ -194,7 +194,7 @@ def find_leaks(
 ) -> DataFrame:
     """``docs`` with ``leak``: ``n_words``, ``n_hit``, ``spans`` (word ranges
     covered, as lo, hi, lo, hi, …), ``items``, ``clean_text``, ``drop``."""
-    kind = T._parse_datatype_string(LEAK)
+    kind = T.DataType.fromDDL(LEAK)
     found = docs.withColumn("leak", F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields)))
     passed = False
     for automaton in automata(benchmark, window, automaton_words):

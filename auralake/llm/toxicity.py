@@ -306,7 +306,7 @@ def score_documents(docs: DataFrame, model: Model, group: int = 500) -> DataFram
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "toxicity"])
 
     return kept.mapInArrow(
-        run, T.StructType([*kept.schema.fields, T.StructField("toxicity", T._parse_datatype_string(TOXICITY))])
+        run, T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DataType.fromDDL(TOXICITY))])
     )
 
 
