@@ -92,32 +92,27 @@ def ranked_within(
     )
 
 
-def neighbours(ids: DataFrame, key: str, target_rows: int = 50_000) -> DataFrame:
+def neighbours(ids: DataFrame, key: str, target_rows: int = 50_000) -> tuple[DataFrame, int]:
     """For each distinct ``key`` the next smaller one; the smallest gets the largest.
 
     Ranges of keys are dealt to partitions, and the table of ids is written
     so that the ranges stay fixed; only one row a range meets in one place.
-    Returns ``key`` and ``next_key``.
+    Returns a table of ``key`` and ``next_key``, and the number of keys.
     """
-    spark = ids.sparkSession
-    n = ids.count()
-    parts = max(1, math.ceil(n / target_rows))
+    parts = max(1, math.ceil(ids.count() / target_rows))
     placed = staged(
         ids.select(key).distinct().repartitionByRange(parts, key).withColumn("_range", F.spark_partition_id()), "ranges"
     )
     edges = placed.groupBy("_range").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    w = Window.orderBy("_range")
-    whole = Window.partitionBy()
-    edges = edges.select(
-        F.col("_range").alias("_r"),
-        F.coalesce(F.lag("_hi").over(w), F.max("_hi").over(whole)).alias("_before"),
-    )
+    w, whole = Window.orderBy("_range"), Window.partitionBy()
+    before = F.coalesce(F.lag("_hi").over(w), F.max("_hi").over(whole)).alias("_before")
     inside = Window.partitionBy("_range").orderBy(key)
-    return (
+    out = (
         placed.withColumn("_prev", F.lag(key).over(inside))
-        .join(edges, F.col("_range") == F.col("_r"))
+        .join(edges.select("_range", before), "_range")
         .select(key, F.coalesce("_prev", "_before").alias("next_key"))
     )
+    return out, placed.count()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
