@@ -3,6 +3,7 @@ one big window, and connected components."""
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -39,12 +40,17 @@ def staged(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation.
+    Shuffle files behind tables written before are freed as soon as the driver
+    no longer knows them, for which its garbage is collected here.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{scratch_root(spark)}/auralake/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", compression).parquet(path)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "toxicity", "language_id", "fingerprints", "decontamination", "packing", "token_files", "ngram_join", "url_filter"]
+MODULES = ["sharding", "toxicity", "language_id", "fingerprints", "decontamination", "packing", "token_files", "line_dedup", "ngram_join", "url_filter"]
 
 
 def _gather(name: str) -> dict:
