@@ -41,8 +41,8 @@ def block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: SQL of the same
 EV = (
-    "ev AS (SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS s,"
-    f" epoch_ms(ts) + (event_id % 12 + 1) * {HOUR} AS e FROM events)"
+    "ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS s,"
+    f" epoch_us(ts) // 1000 + (event_id % 12 + 1) * {HOUR} AS e FROM events)"
 )
 EFF = (
     EV + ", eff AS (SELECT *, least(e, coalesce(lead(s) OVER w, 9223372036854775807)) AS eff_end,"

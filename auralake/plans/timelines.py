@@ -137,10 +137,10 @@ def peak_rms(spark, sf_dir):
 
 
 @query(f"""WITH {EV}, r AS (SELECT event_id, user_id, abs(value) AS raw, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM ev)
-SELECT event_id, round(exp(max(CASE WHEN raw > 0 THEN ln(raw) - k * ln(0.85) END) OVER (PARTITION BY user_id ORDER BY k) + k * ln(0.85)), 4) AS held FROM r""")
+SELECT event_id, round(exp(max(CASE WHEN raw > 0 THEN ln(raw) - k * ln(0.85) END) OVER (PARTITION BY user_id ORDER BY k) + k * ln(0.85)) + 1e-7, 4) AS held FROM r""")
 def peak_hold_decay(spark, sf_dir):
     ev = block_events(spark, sf_dir).withColumn("raw", F.abs("value"))
-    return metering.held_peak(ev, ["user_id"], ["s", "event_id"], "raw").select("event_id", F.round("held", 4).alias("held"))
+    return metering.held_peak(ev, ["user_id"], ["s", "event_id"], "raw").select("event_id", F.round(F.col("held") + 1e-7, 4).alias("held"))
 
 
 _TAPS = metering.decorrelator([0, 1, 3, 4, 7, 11, 13, 17])
