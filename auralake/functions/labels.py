@@ -78,7 +78,7 @@ def boundary_prefixes(c: Column) -> Column:
 
 def listed(c: Column) -> Column:
     """Trimmed, non-empty items of a comma-separated list."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def render_comment(renderer: Column, layout: Column, loudness: Column, peak: Column) -> Column:

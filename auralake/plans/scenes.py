@@ -316,11 +316,11 @@ _MATRIX = [(i, o, round(math.cos(i * 3 + o), 3) if (i + o) % 3 else 0.0) for i i
 
 @query("WITH m(in_ch, out_ch, gain) AS (VALUES " + ", ".join(map(str, _MATRIX)) + """),
 s AS (SELECT o_custkey, CAST(left(o_orderpriority, 1) AS INT) - 1 AS in_ch, o_totalprice AS v FROM orders)
-SELECT o_custkey, out_ch, round(sum(v * gain), 2) AS mix FROM s JOIN m USING (in_ch) WHERE gain <> 0 GROUP BY ALL""")
+SELECT o_custkey, out_ch, round(sum(v * gain), 5) AS mix FROM s JOIN m USING (in_ch) WHERE gain <> 0 GROUP BY ALL""")
 def mixdown(spark, sf_dir):
     matrix = spark.createDataFrame(_MATRIX, "in_ch int, out_ch int, gain double")
     samples = table(spark, sf_dir, "orders").select("o_custkey", (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("in_ch"), F.col("o_totalprice").alias("value"))
-    return mixing.mixed(samples, matrix, ["o_custkey"]).withColumn("mix", F.round("mix", 2))
+    return mixing.mixed(samples, matrix, ["o_custkey"]).withColumn("mix", F.round("mix", 5))
 
 
 @query("SELECT vec_id, round(CAST(embedding[7] AS DOUBLE), 6) AS c4, round(CAST(embedding[5] AS DOUBLE), 6) AS c6 FROM embeddings")

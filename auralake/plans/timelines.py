@@ -195,3 +195,12 @@ def ola_fir(spark, sf_dir):
     blocks = blocks.select("user_id", "day", F.transform("b", lambda x: x["value"]).alias("samples"))
     out = metering.overlap_add(blocks, ["user_id"], "day", "samples", [1 / 16] * 16)
     return out.select("user_id", "day", F.transform("samples", lambda x: F.round(x, 4)).alias("samples"))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS revision, arg_max(value, event_id) AS gain FROM events GROUP BY user_id""")
+def stream_overrides(spark, sf_dir):
+    """The latest override of each user; the same expression runs on a stream."""
+    from ..streaming.monitor import latest_overrides
+
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("revision"), F.col("value").alias("gain"))
+    return latest_overrides(ev, ["user_id"])

@@ -81,7 +81,7 @@ class Registry:
             raise ValueError("a speaker's direction has to be finite")
         if any(i == layout_id for i, _ in self.layouts):
             raise ValueError(f"layout {layout_id!r} exists")
-        self.layouts[(layout_id, name)] = [(k, *s) for k, s in enumerate(speakers)]
+        self.layouts[(layout_id, name)] = [(k, s[0], float(s[1]), float(s[2]), s[3]) for k, s in enumerate(speakers)]
 
     def speakers(self, spark: SparkSession) -> DataFrame:
         rows = [(i, name, *s) for (i, name), each in self.layouts.items() for s in each]
