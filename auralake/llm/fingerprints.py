@@ -10,16 +10,16 @@ sketches of two versions leaves the digests that only one has. A cell with one
 digest left shows it; taking it out of its other cells may free more
 ("peeling").
 
-Where peeling gets stuck, both versions are sketched again over 16 times as
-many cells: their digests are dealt to 16 sketches by the next four bits, until
-every one peels off. So what differs is always recovered whole, in time in
+Where peeling gets stuck, both versions are sketched again over eight times as
+many cells: their digests are dealt to eight sketches by the next three bits,
+until every one peels off. So what differs is always recovered whole, in time in
 proportion to the digests.
 
 A fingerprint is the text's first sketch, written out. The likeness of two
 texts is the share of digests that both have among those that one has.
 
 Defined cases: a null text is empty; two empty texts are alike (1); a null
-doc_id comes first, as the smallest number; rows that share a doc_id count as
+doc_id comes first, as the smallest number (which is read as null); rows that share a doc_id count as
 one document with the greatest of their texts; an empty table gives no rows;
 other columns of the input are ignored.
 """
@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import neighbours, table
 
-ROWS, WIDTH_BITS = 3, 3
+NO_ID = -(2**63)
+ROWS, WIDTH_BITS, FAN_BITS = 3, 3, 3
 WIDTH = 1 << WIDTH_BITS
-#: for each cell: the shift to a digest's bits for its row, and their value there
-_SPOTS = "array(%s)" % ", ".join(
-    f"named_struct('s', {WIDTH_BITS * r}, 'c', {c}L)" for r in range(ROWS) for c in range(WIDTH)
-)
+CELLS = ROWS * WIDTH
+#: digests of two versions that are sketched together at most, after the first sketch
+MOST = 4 * CELLS
 _NONE = "CAST(array() AS ARRAY<BIGINT>)"
+_NO_ITEMS = "CAST(array() AS ARRAY<STRUCT<k: BIGINT, h: BIGINT, m: BIGINT, s: INT>>)"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -57,66 +58,101 @@ def digests(text: str) -> str:
     return _let("s", hashes, f"if(size(s) = 0, {_NONE}, {counted})")
 
 
+def items(keys: str) -> str:
+    """Digests with their check values and the cells they go to, as a mask."""
+    cells = " | ".join(
+        f"shiftleft({1 << (WIDTH * r)}L, int(shiftrightunsigned(k, {WIDTH_BITS * r}) & {WIDTH - 1}L))" for r in range(ROWS)
+    )
+    return f"transform({keys}, k -> named_struct('k', k, 'h', {_check('k')}, 'm', {cells}, 's', 1))"
+
+
+_EMPTY = f"array_repeat(named_struct('n', 0, 'k', 0L, 'h', 0L), {CELLS})"
+
+
+def inserted(cells: str, added: str, sign: str) -> str:
+    """Cells after items were put in (sign +) or taken out (-)."""
+    changed = f"named_struct('n', c.n {sign} q.s, 'k', c.k ^ q.k, 'h', c.h ^ q.h)"
+    return f"aggregate({added}, {cells}, (acc, q) -> transform(acc, (c, i) -> if(getbit(q.m, i) = 1, {changed}, c)))"
+
+
 def sketch(keys: str) -> str:
     """Cells of a SQL expression of digests."""
-    cell = (
-        "named_struct('n', size(m), 'k', aggregate(m, 0L, (a, k) -> a ^ k),"
-        f" 'h', aggregate(m, 0L, (a, k) -> a ^ {_check('k')}))"
-    )
-    members = f"filter({keys}, k -> (shiftrightunsigned(k, p.s) & {WIDTH - 1}L) = p.c)"
-    return f"transform({_SPOTS}, p -> {_let('m', members, cell)})"
+    return inserted(_EMPTY, items(keys), "+")
 
 
 def subtract(x: str, y: str) -> str:
     return f"zip_with({x}, {y}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'h', a.h ^ b.h))"
 
 
-def peel(cells: str, rounds: int = 10) -> str:
+def subtracted(a: str, b: str) -> str:
+    """The sketch of items ``a`` less that of ``b``: sketches are sums, so
+    taking the items of ``b`` out of it is the same."""
+    return inserted(inserted(_EMPTY, a, "+"), b, "-")
+
+
+def peel(cells: str, rounds: int = 4) -> str:
     """``cells`` (what is left), ``mine`` and ``theirs`` (digests recovered)."""
-    pure = (
-        f"array_distinct(transform(filter(st.cells, c -> abs(c.n) = 1 AND {_check('c.k')} = c.h),"
-        " c -> named_struct('s', c.n, 'k', c.k)))"
-    )
-    hits = f"filter(pure, q -> (shiftrightunsigned(q.k, get({_SPOTS}, i).s) & {WIDTH - 1}L) = get({_SPOTS}, i).c)"
-    taken = f"aggregate({hits}, c, (a, q) -> named_struct('n', a.n - q.s, 'k', a.k ^ q.k, 'h', a.h ^ {_check('q.k')}))"
+    found = f"filter(st.cells, c -> (c.n = 1 OR c.n = -1) AND {_check('c.k')} = c.h)"
+    signed = f"transform({found}, c -> named_struct('k', c.k, 's', c.n))"
+    pure = f"array_distinct({signed})"
+    full = "zip_with(pure, " + items("transform(pure, q -> q.k)") + ", (q, t) -> named_struct('k', t.k, 'h', t.h, 'm', t.m, 's', q.s))"
     side = lambda s, name: f"concat(st.{name}, transform(filter(pure, q -> q.s = {s}), q -> q.k))"
     step = (
-        f"if(size(pure) = 0, st, named_struct('cells', transform(st.cells, (c, i) -> {taken}),"
+        f"if(size(pure) = 0, st, named_struct('cells', {inserted('st.cells', full, '-')},"
         f" 'mine', {side(1, 'mine')}, 'theirs', {side(-1, 'theirs')}))"
     )
     start = f"named_struct('cells', {cells}, 'mine', {_NONE}, 'theirs', {_NONE})"
     return f"aggregate(sequence(1, {rounds}), {start}, (st, r) -> {_let('pure', pure, step)})"
 
 
-def recovered(a: str, b: str) -> str:
+_CLEAR = "forall(pl.cells, c -> c.n = 0 AND c.k = 0 AND c.h = 0)"
+
+
+def recovered(a: str, b: str, cells_a: str | None = None, cells_b: str | None = None) -> str:
     """``mine`` and ``theirs``: the digests that only one of two SQL
-    expressions of digests has, sketched larger until all peel off."""
-    peeled = _let(
+    expressions of digests has.
+
+    First from their sketches (``cells_a``, ``cells_b`` if they are at hand);
+    where that gets stuck, sketched larger until all peel off. Parts of more
+    than ``MOST`` digests are split on before they are sketched.
+    """
+    first = peel(subtract(cells_a or sketch(a), cells_b or sketch(b)))
+    return _let(
         "pl",
-        peel(subtract(sketch("w.a"), sketch("w.b"))),
-        "named_struct('a', w.a, 'b', w.b, 'mine', pl.mine, 'theirs', pl.theirs,"
-        " 'ok', forall(pl.cells, c -> c.n = 0 AND c.k = 0 AND c.h = 0))",
+        first,
+        f"if({_CLEAR}, named_struct('todo', 0, 'mine', pl.mine, 'theirs', pl.theirs), {_larger(a, b)})",
     )
-    part = lambda side: f"filter(t.{side}, k -> (shiftrightunsigned(k, 60 - 4 * l) & 15L) = j)"
-    larger = (
-        "filter(flatten(transform(filter(tried, t -> NOT t.ok), t -> transform(sequence(0, 15),"
-        f" j -> named_struct('a', {part('a')}, 'b', {part('b')})))), w -> size(w.a) + size(w.b) > 0)"
+
+
+def _larger(a: str, b: str) -> str:
+    stuck = f"named_struct('a', w.a, 'b', w.b, 'mine', {_NONE}, 'theirs', {_NONE}, 'ok', false)"
+    tried = _let(
+        "pl",
+        peel(subtracted("w.a", "w.b")),
+        f"if({_CLEAR}, named_struct('a', {_NO_ITEMS}, 'b', {_NO_ITEMS}, 'mine', pl.mine, 'theirs', pl.theirs, 'ok', true), {stuck})",
     )
+    dealt = f"(shiftrightunsigned(x.k, greatest({64 - FAN_BITS} - {FAN_BITS} * l, 0)) & {(1 << FAN_BITS) - 1}L) = j"
+    part = lambda side: f"filter(t.{side}, x -> {dealt})"
+    split = (
+        "filter(flatten(transform(s.todo, t -> transform(sequence(0, %d), j -> named_struct('a', %s, 'b', %s)))),"
+        " w -> size(w.a) + size(w.b) > 0)"
+    ) % ((1 << FAN_BITS) - 1, part("a"), part("b"))
+    each = f"transform({split}, w -> if(size(w.a) + size(w.b) > {MOST}, {stuck}, {tried}))"
+    left = "transform(filter(tried, t -> NOT t.ok), t -> named_struct('a', t.a, 'b', t.b))"
     done = lambda side: f"concat(s.{side}, flatten(transform(filter(tried, t -> t.ok), t -> t.{side})))"
-    step = (
-        f"if(size(s.todo) = 0, s, {_let('tried', f'transform(s.todo, w -> {peeled})', 'named_struct(%s)')})"
-    ) % f"'todo', {larger}, 'mine', {done('mine')}, 'theirs', {done('theirs')}"
-    start = f"named_struct('todo', array(named_struct('a', {a}, 'b', {b})), 'mine', {_NONE}, 'theirs', {_NONE})"
-    return f"aggregate(sequence(0, 15), {start}, (s, l) -> {step})"
+    step = _let("tried", each, f"named_struct('todo', {left}, 'mine', {done('mine')}, 'theirs', {done('theirs')})")
+    start = f"named_struct('todo', array(named_struct('a', {items(a)}, 'b', {items(b)})), 'mine', {_NONE}, 'theirs', {_NONE})"
+    folded = f"aggregate(sequence(0, {-(-64 // FAN_BITS)}), {start}, (s, l) -> if(size(s.todo) = 0, s, {step}))"
+    return _let("f", folded, "named_struct('todo', size(f.todo), 'mine', f.mine, 'theirs', f.theirs)")
 
 
 def written(cells: str) -> str:
     return f"array_join(transform({cells}, c -> concat_ws('.', hex(c.n), hex(c.k), hex(c.h))), '-')"
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: str, b: str, cells_a: str | None = None, cells_b: str | None = None) -> Column:
     """Share of the digests in both among those in one, from what differs."""
-    apart = F.expr(_let("d", recovered(a, b), "size(d.mine) + size(d.theirs)"))
+    apart = F.expr(_let("d", recovered(a, b, cells_a, cells_b), "size(d.mine) + size(d.theirs)"))
     both = (F.expr(f"size({a}) + size({b})") - apart) / F.lit(2.0)
     return F.when(F.expr(f"size({a}) + size({b}) = 0"), F.lit(1.0)).otherwise(both / (both + apart))
 
@@ -124,32 +160,34 @@ def likeness(a: str, b: str) -> Column:
 def edited_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, text, edited`` and the digests ``own``, ``new`` (of the edited
     text) and ``other`` (of the next document)."""
-    docs = docs.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"), "doc_id"
-    )
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     following, n = neighbours(docs, "id")
     if n != docs.count():
-        docs = docs.groupBy("id").agg(F.max("text").alias("text"), F.first("doc_id").alias("doc_id"))
+        docs = docs.groupBy("id").agg(F.max("text").alias("text"))
     half = docs.select("id", F.floor(F.char_length("text") / 2).cast("int").alias("half"))
     asks = half.join(following, "id").select(F.col("id").alias("asker"), "half", "next_key")
     heads = docs.join(asks, F.col("id") == F.col("next_key")).select(
         "asker", "half", F.expr("substring(text, 1, half)").alias("head"), F.expr(digests("text")).alias("other")
     )
+    # both joins shuffle (id, text) by id, so that is done once
     joined = docs.join(heads, F.col("id") == F.col("asker")).select(
-        "doc_id", "text", "other", F.expr("concat(substring(text, 1, char_length(text) - half), head)").alias("edited")
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "other", F.expr("concat(substring(text, 1, char_length(text) - half), head)").alias("edited")
     )
     return joined.withColumns({"own": F.expr(digests("text")), "new": F.expr(digests("edited"))})
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_documents(table(spark, sf_dir, "documents")).select(
+    sketched = edited_documents(table(spark, sf_dir, "documents")).withColumns(
+        {f"{c}_cells": F.expr(sketch(c)) for c in ("own", "new", "other")}
+    )
+    return sketched.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.expr(written(sketch("own"))).alias("fingerprint"),
-        F.expr(written(sketch("new"))).alias("edited_fingerprint"),
-        likeness("own", "new").alias("near_edited"),
-        likeness("own", "other").alias("near_next"),
+        F.expr(written("own_cells")).alias("fingerprint"),
+        F.expr(written("new_cells")).alias("edited_fingerprint"),
+        likeness("own", "new", "own_cells", "new_cells").alias("near_edited"),
+        likeness("own", "other", "own_cells", "other_cells").alias("near_next"),
     )
 
 
