@@ -102,18 +102,12 @@ def _sliding(length: int, hop: int):
     return sql, run
 
 
-_sql, _run = _sliding(4 * HOUR, HOUR)
-
-
-@query(_sql)
+@query(_sliding(4 * HOUR, HOUR)[0])
 def momentary(spark, sf_dir):
     return _sliding(4 * HOUR, HOUR)[1](spark, sf_dir)
 
 
-_sql, _run = _sliding(24 * HOUR, 3 * HOUR)
-
-
-@query(_sql)
+@query(_sliding(24 * HOUR, 3 * HOUR)[0])
 def shortterm(spark, sf_dir):
     return _sliding(24 * HOUR, 3 * HOUR)[1](spark, sf_dir)
 
