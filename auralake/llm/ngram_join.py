@@ -6,12 +6,13 @@ Documents with equal sets form a class; one of each class goes on.
 Tiles: under one order of all shingles (rare before frequent, then by hash),
 two sets that link share a shingle among the first few of each. A tile is such
 a shingle with the sets that have it among their first, in order of size, so
-that only a narrow band of sizes meets a set. Two rounds link them:
+that only a narrow band of sizes meets a set. Rounds link them:
 
-1. each set with the one before it in its tile and with the first of its band
-   (linear in the tile), and components of the links that hold;
-2. in tiles that still hold several components, all pairs across them but none
-   inside the largest, so large groups of near copies stay linear.
+1. In two rounds, each set, in a few of its tiles, with the one before it and
+   the first of its band (so at most some pairs a set), and components of the
+   links that hold.
+2. In tiles that still hold several components, all pairs across them but none
+   inside the largest. So large groups of near copies stay about linear.
 
 A pair is first bounded by bitmaps of as many hash bits as the set has
 shingles: a bit that only one of them has set is a shingle that only it has.
@@ -37,7 +38,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import checkpointed, connected_components, maybe_in, staged, table
 from .words import SPACED, split
 
-MOST_HOT = 1 << 16
+BUCKETS = 1 << 21
+#: tiles (a set's rarest first) in which it is linked before all pairs across components are made
+ROUNDS = ((1, 4), (5, 12))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -97,11 +100,13 @@ def _arrow(df: DataFrame, schema: str, rows) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def frequent_shingles(docs: DataFrame, n: int, in_batch: int = 4) -> list[tuple[int, int]]:
-    """(shingle, count) of the most frequent ones, ascending by count.
+def shingle_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """How frequent the shingles of each of ``BUCKETS`` hash buckets are, in
+    eighths of a power of two; 0 for rare ones.
 
-    Counts cover all documents, batch by batch: a shingle counts where a batch
-    has it in ``in_batch`` different sets or more.
+    All documents are counted, batch by batch; a shingle counts where a batch
+    has it in two sets or more, so what is sent is small, and a shingle of a
+    few dozen documents is noticed at any size of the corpus.
     """
 
     def rows(batch):
@@ -109,41 +114,32 @@ def frequent_shingles(docs: DataFrame, n: int, in_batch: int = 4) -> list[tuple[
         if not sets:
             return [[], []]
         x, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        return [x[c >= in_batch].astype(np.int64), c[c >= in_batch].astype(np.int64)]
+        return [(x[c > 1] % np.uint64(BUCKETS)).astype(np.int64), c[c > 1].astype(np.int64)]
 
-    found = _arrow(docs.select("text"), "s long, c long", rows).groupBy("s").agg(F.sum("c").alias("c"))
-    top = found.filter(F.col("c") >= 16).orderBy(F.desc("c"), "s").limit(MOST_HOT)
-    return sorted(((r["s"], r["c"]) for r in top.collect()), key=lambda r: (r[1], r[0]))
+    found = _arrow(docs.select("text"), "b long, c long", rows).groupBy("b").agg(F.sum("c").alias("c"))
+    level = F.least(F.floor(F.log2(F.col("c").cast("double")) * 8), F.lit(255)).cast("short").alias("l")
+    got = found.filter("c >= 4").select(F.col("b").cast("int").alias("b"), level).toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    out[got["b"].to_numpy()] = got["l"].to_numpy()
+    return out
 
 
 def sets_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``doc_id, n, k1, k2, first array<long>, bits binary`` for each row:
     size, 128-bit key of the set (null if empty), its first shingles in the
     common order, and its bitmap."""
-    hot = frequent_shingles(docs, n)
-    # at most MOST_HOT rows: below 2 MB whatever the corpus
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
-    state: dict = {}
+    # BUCKETS bytes, whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, n))
 
     def rows(batch):
-        if "hot" not in state:
-            h = np.array([s for s, _ in sent.value], np.int64).view(np.uint64)
-            by = np.argsort(h)
-            state["hot"], state["rank"] = h[by], by
-        h, rank, out = state["hot"], state["rank"], [[], [], [], [], [], []]
+        levels, out = sent.value, [[], [], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             x = shingle_set(text.as_py(), n)
             key = xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None
             k1, k2 = np.frombuffer(key, np.int64).tolist() if key else (None, None)
-            ordered = x
-            if len(h):
-                at = np.searchsorted(h, x)
-                at[at == len(h)] = 0
-                is_hot = h[at] == x
-                if is_hot.any():
-                    ordered = np.concatenate((x[~is_hot], x[is_hot][np.argsort(rank[at[is_hot]])]))
+            by = np.argsort(levels[(x % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")
             p = len(x) - (num * len(x) + den - 1) // den + 1 if len(x) else 0
-            values = (doc_id, len(x), k1, k2, ordered[:p].view(np.int64), bitmap(x))
+            values = (doc_id, len(x), k1, k2, x[by[:p]].view(np.int64), bitmap(x))
             for c, v in zip(out, values):
                 c.append(v)
         return out
@@ -195,17 +191,33 @@ def _across(tiles: DataFrame, num: int, den: int, block: int = 1 << 20) -> DataF
             cuts = np.flatnonzero(np.diff(tile)) + 1
             for part in zip(*(np.split(x, cuts) for x in (n, ids, pos, comp))):
                 for a, b in pairs(*part):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            last = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
-            if last:
-                yield from flush([x[:last] for x in held])
-                held = [x[last:] for x in held]
-        if held and len(held[0]):
-            yield from flush(held)
+                    yield np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+        def once(found):
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        def tiles_of():
+            nonlocal held
+            for batch in batches:
+                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+                last = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+                if last:
+                    yield from flush([x[:last] for x in held])
+                    held = [x[last:] for x in held]
+            if held and len(held[0]):
+                yield from flush(held)
+
+        found, size = [], 0  # a pair of several tiles is sent once, as far as a block goes
+        for pair in tiles_of():
+            found.append(pair)
+            size += pair.shape[1]
+            if size >= block:
+                yield once(found)
+                found, size = [], 0
+        if found:
+            yield once(found)
 
     return tiles.select("tile", "n", "id", "pos", "comp").mapInArrow(run, "a long, b long")
 
@@ -248,6 +260,36 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
     return _arrow(left.join(side2("a"), "a").join(side2("b"), "b").select("a", "b", "sa", "sb"), "a long, b long", exact)
 
 
+def _named(tiles: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """``tiles`` with ``comp``; tiles of one component are done and left out."""
+    if stars is None:
+        return tiles.withColumn("comp", F.col("id"))
+    alone = Window.partitionBy("tile")
+    named = tiles.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    ends = {"_lo": F.min("comp").over(alone), "_hi": F.max("comp").over(alone)}
+    return named.withColumns(ends).filter("_lo <> _hi").drop("_lo", "_hi", "component")
+
+
+def _neighbours(named: DataFrame, num: int, den: int) -> DataFrame:
+    """Each set with others of its tile, of another component and a size that
+    can link: the one before it in size, and the first of its band of sizes."""
+    near = Window.partitionBy("tile").orderBy("n", "id")
+    band = Window.partitionBy("tile", "band").orderBy("id")
+    size = F.log(F.col("n").cast("double")) / float(np.log(den / num))
+    one = F.struct("id", "n", "comp")
+    others = F.array(F.lag(one).over(near), F.first(one).over(band))
+    out = named.withColumn("band", F.floor(size)).select("id", "n", "comp", "turn", others.alias("_o"))
+    out = out.select("id", "n", "comp", "turn", F.explode("_o").alias("o")).filter("comp <> o.comp")
+    return out.filter((F.col("o.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("o.n") * num))
+
+
+def _joined(stars: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links so far and the new ones."""
+    if stars is not None:
+        links = links.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return checkpointed(connected_components(links))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``: two
     documents link when ``den * shared >= num * together``."""
@@ -259,30 +301,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     rows = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("pos", "tile")).distinct()
     alone = Window.partitionBy("tile")
-    tiles = staged(
-        rows.withColumn("_c", F.count(F.lit(1)).over(alone)).filter("_c > 1").select("tile", "n", "id", F.col("pos").cast("long")),
-        "tiles",
-    )
-    near = Window.partitionBy("tile").orderBy("n", "id")
-    band = Window.partitionBy("tile", "band").orderBy("n", "id")
-    size = F.log(F.col("n").cast("double")) / float(np.log(den / num))
-    linked = tiles.withColumn("band", F.floor(size)).select(
-        "id", "n",
-        F.array(
-            F.struct(F.lag("id").over(near).alias("id"), F.lag("n").over(near).alias("n")),
-            F.struct(F.first("id").over(band).alias("id"), F.first("n").over(band).alias("n")),
-        ).alias("_o"),
-    ).select("id", "n", F.explode("_o").alias("o"))
-    fits = (F.col("o.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("o.n") * num) & (F.col("o.id") != F.col("id"))
-    pairs = linked.filter(fits).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
-    stars = checkpointed(connected_components(_verified(pairs, reps, docs, n, num, den)))
-
-    named = tiles.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = named.withColumn("_lo", F.min("comp").over(alone)).withColumn("_hi", F.max("comp").over(alone)).filter("_lo <> _hi")
-    dealt = mixed.select("tile", "n", "id", "pos", "comp").repartition("tile").sortWithinPartitions("tile", "n", "id")
-    more = _verified(_across(dealt, num, den).distinct(), reps, docs, n, num, den)
-    edges = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    components = connected_components(edges)
+    tiles = rows.withColumn("_c", F.count(F.lit(1)).over(alone)).filter("_c > 1")
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("pos")).alias("turn")
+    tiles = staged(tiles.select("tile", "n", "id", F.col("pos").cast("long"), turn), "tiles")
+    stars = None
+    for first, last in ROUNDS:
+        pairs = _neighbours(_named(tiles, stars), num, den).filter(F.col("turn").between(first, last))
+        pairs = pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+        stars = _joined(stars, _verified(pairs, reps, docs, n, num, den))
+    mixed = _named(tiles, stars).select("tile", "n", "id", "pos", "comp")
+    dealt = mixed.repartition("tile").sortWithinPartitions("tile", "n", "id")
+    components = _joined(stars, _verified(_across(dealt, num, den).distinct(), reps, docs, n, num, den))
 
     return (
         sets.join(classes, ["k1", "k2"], "left")

@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,9 +58,9 @@ def lines_of(text: str | None) -> list[list[bytes]]:
     return [words for words in split if words]
 
 
-def features(word: bytes) -> list[bytes]:
-    """The word itself (marked) and its prefixes."""
-    return [b"=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
+def features(word: bytes) -> list[int]:
+    """Hashes of the word itself (marked) and of its prefixes."""
+    return [xxhash.xxh3_64_intdigest(f) for f in (b"=" + word, *(word[:n] for n in PREFIXES if len(word) >= n))]
 
 
 class Chains:
@@ -76,7 +77,7 @@ class Chains:
         rank = np.empty(len(lengths), np.int64)
         rank[by_length] = np.arange(len(lengths))
         step = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
-        self.place = self.begin[step] + np.repeat(rank, lengths)
+        self.place = (self.begin[step] + np.repeat(rank, lengths)).astype(np.int32)
 
     def messages(self, emission: np.ndarray, links: np.ndarray):
         """Marginals of T, in token order, and the expected link counts.
@@ -107,7 +108,7 @@ class Chains:
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]  # of features
+    weights: dict[int, float]  # of features, by hash
     bias: float
     links: np.ndarray
     scorer: np.ndarray | None  # weights of document features
@@ -167,37 +168,45 @@ def fit(rows: list[tuple[str | None, int]], prior: float, rounds: int = 30, supp
     labels = np.array([y for _, y in rows], float)
     if not 0 < labels.sum() < len(labels):
         return Model({}, 0.0, np.zeros((2, 2)), None, prior)
-    docs = [lines_of(t) for t, _ in rows]
-    seen = [Counter(), Counter()]
-    known: dict[bytes, list[bytes]] = {}
-    for lines, y in zip(docs, labels):
-        words = {w for line in lines for w in line}
-        for w in words:
-            if w not in known:
-                known[w] = features(w)
-        seen[int(y)].update({f for w in words for f in known[w]})
-    n0, n1 = len(labels) - labels.sum(), labels.sum()
-    telling = {
-        f for f, n in seen[1].items() if n >= support and (n + 0.5) / (n1 + 1) >= lift * (seen[0][f] + 0.5) / (n0 + 1)
-    }
-    kept = {f for f, n in seen[1].items() if n + seen[0][f] >= support}
+    # words and features as numbers: only each distinct word is kept once as a string
     word_ids: dict[bytes, int] = {}
-    tokens, lengths, doc_of, marked = [], [], [], []
-    for k, lines in enumerate(docs):
-        for line in lines:
+    tokens, lengths, sizes = array("i"), array("i"), []
+    for text, _ in rows:
+        before = len(tokens)
+        for line in lines_of(text):
             lengths.append(len(line))
-            for w in line:
-                tokens.append(word_ids.setdefault(w, len(word_ids)))
-            doc_of += [k] * len(line)
-    tokens, doc_of = np.array(tokens, np.int64), np.array(doc_of, np.int64)
-    tells = np.array([any(f in telling for f in known[w]) for w in word_ids], bool)
+            tokens.extend(word_ids.setdefault(w, len(word_ids)) for w in line)
+        sizes.append(len(tokens) - before)
+    tokens, lengths = np.array(tokens, np.int32), np.array(lengths, np.int64)
+    doc_of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    hashes, each = array("Q"), array("i")
+    for w in word_ids:
+        own = features(w)
+        hashes.extend(own)
+        each.append(len(own))
+    n_words, each = len(word_ids), np.array(each, np.int64)
+    del word_ids
+    names, feature_at = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+    del hashes
+    word_at, first = np.repeat(np.arange(n_words), each), np.cumsum(each) - each
+
+    seen = np.zeros((2, len(names)))
+    for k, part in enumerate(np.split(tokens, np.cumsum(sizes)[:-1])):
+        words = np.unique(part)
+        n = each[words]
+        at = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        seen[int(labels[k]), np.unique(feature_at[at])] += 1
+    n0, n1 = len(labels) - labels.sum(), labels.sum()
+    telling = (seen[1] >= support) & ((seen[1] + 0.5) / (n1 + 1) >= lift * (seen[0] + 0.5) / (n0 + 1))
+    tells = np.bincount(word_at, telling[feature_at], n_words) > 0
     marked = tells[tokens] & (labels[doc_of] == 1)
+    kept = seen.sum(0) >= support
+    number = np.cumsum(kept) - 1
+    used = kept[feature_at]
+    word_at, feature_at, names = word_at[used], number[feature_at[used]], names[kept]
 
-    names: dict[bytes, int] = {}
-    pairs = [(i, names.setdefault(f, len(names))) for w, i in word_ids.items() for f in known[w] if f in kept]
-    word_at, feature_at = np.array(pairs, np.int64).reshape(-1, 2).T
     weight = np.where(labels == 1, prior / n1, (1 - prior) / n0) * len(labels)
-    chains = Chains(np.array(lengths, np.int64))
+    chains = Chains(lengths)
     ends = np.cumsum(lengths)
     inner = np.ones(len(tokens), bool)
     inner[ends - 1] = False  # a chain's last token links to none
@@ -208,9 +217,9 @@ def fit(rows: list[tuple[str | None, int]], prior: float, rounds: int = 30, supp
     w, bias, links = np.zeros(len(names)), -3.0, np.zeros((2, 2))
     sums = [np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(rounds):  # Adagrad on the whole sample
-        emit = bias + np.bincount(word_at, w[feature_at], len(word_ids))
+        emit = bias + np.bincount(word_at, w[feature_at], n_words)
         p, counts = chains.messages(emit[tokens], links)
-        by_word = np.bincount(tokens, p - marked, len(word_ids))
+        by_word = np.bincount(tokens, p - marked, n_words)
         grads = [
             np.bincount(feature_at, by_word[word_at], len(names)) + 0.05 * w,
             float(by_word.sum()),
@@ -221,11 +230,11 @@ def fit(rows: list[tuple[str | None, int]], prior: float, rounds: int = 30, supp
         w = w - 0.5 * grads[0] / np.sqrt(sums[0])
         bias -= 0.5 * grads[1] / math.sqrt(sums[1])
         links = links - 0.5 * grads[2] / np.sqrt(sums[2])
-    emit = bias + np.bincount(word_at, w[feature_at], len(word_ids))
+    emit = bias + np.bincount(word_at, w[feature_at], n_words)
     p, _ = chains.messages(emit[tokens], links)
-    expected = np.bincount(doc_of, p, len(docs))
-    x = document_features(expected, np.bincount(doc_of, minlength=len(docs)))
-    weights = {f: float(w[k]) for f, k in names.items() if abs(w[k]) > 1e-3}
+    expected = np.bincount(doc_of, p, len(rows))
+    x = document_features(expected, np.array(sizes))
+    weights = {int(f): float(v) for f, v in zip(names, w) if abs(v) > 1e-3}
     return Model(weights, float(bias), links, logistic(x, labels, weight), prior)
 
 
