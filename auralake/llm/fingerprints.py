@@ -10,10 +10,11 @@ sketches of two versions leaves the digests that only one has. A cell with one
 digest left shows it; taking it out of its other cells may free more
 ("peeling").
 
-Where peeling gets stuck, both versions are sketched again over eight times as
-many cells: their digests are dealt to eight sketches by the next three bits,
-until every one peels off. So what differs is always recovered whole, in time in
-proportion to the digests.
+Where peeling gets stuck, both versions are sketched again over more cells: their
+digests are dealt by their first bits to sketches of about ``LOAD`` digests each,
+and where one of those gets stuck, by three bits more, until every one peels off.
+So what differs is always recovered whole, in time in proportion to the digests
+(and the sorting of them).
 
 A fingerprint is the text's first sketch, written out. The likeness of two
 texts is the share of digests that both have among those that one has.
@@ -35,10 +36,9 @@ NO_ID = -(2**63)
 ROWS, WIDTH_BITS, FAN_BITS = 3, 3, 3
 WIDTH = 1 << WIDTH_BITS
 CELLS = ROWS * WIDTH
-#: digests of two versions that are sketched together at most, after the first sketch
-MOST = 4 * CELLS
+#: digests of two versions that are sketched together on average, after the first sketch
+LOAD = 8
 _NONE = "CAST(array() AS ARRAY<BIGINT>)"
-_NO_ITEMS = "CAST(array() AS ARRAY<STRUCT<k: BIGINT, h: BIGINT, m: BIGINT, s: INT>>)"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -52,27 +52,28 @@ def _check(k: str) -> str:
 
 def digests(text: str) -> str:
     """Sorted digests of the paragraphs of a SQL string expression."""
-    hashes = f"array_sort(transform(filter(split({text}, '\\n|(?<=[.!?]) '), x -> x <> ''), x -> xxhash64(x)))"
+    hashes = f"sort_array(transform(filter(split({text}, '\\n|(?<=[.!?]) '), x -> x <> ''), x -> xxhash64(x)))"
     firsts = "filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])"
     counted = _let("f", firsts, "transform(f, (p, j) -> xxhash64(s[p], coalesce(get(f, j + 1), size(s)) - p))")
     return _let("s", hashes, f"if(size(s) = 0, {_NONE}, {counted})")
 
 
-def items(keys: str) -> str:
+def items(keys: str, sign: int = 1) -> str:
     """Digests with their check values and the cells they go to, as a mask."""
     cells = " | ".join(
         f"shiftleft({1 << (WIDTH * r)}L, int(shiftrightunsigned(k, {WIDTH_BITS * r}) & {WIDTH - 1}L))" for r in range(ROWS)
     )
-    return f"transform({keys}, k -> named_struct('k', k, 'h', {_check('k')}, 'm', {cells}, 's', 1))"
+    return f"transform({keys}, k -> named_struct('k', k, 'h', {_check('k')}, 'm', {cells}, 's', {sign}))"
 
 
 _EMPTY = f"array_repeat(named_struct('n', 0, 'k', 0L, 'h', 0L), {CELLS})"
 
 
 def inserted(cells: str, added: str, sign: str) -> str:
-    """Cells after items were put in (sign +) or taken out (-)."""
-    changed = f"named_struct('n', c.n {sign} q.s, 'k', c.k ^ q.k, 'h', c.h ^ q.h)"
-    return f"aggregate({added}, {cells}, (acc, q) -> transform(acc, (c, i) -> if(getbit(q.m, i) = 1, {changed}, c)))"
+    """Cells after items were put in (sign +) or taken out (-), cell by cell."""
+    changed = f"named_struct('n', o.n {sign} q.s, 'k', o.k ^ q.k, 'h', o.h ^ q.h)"
+    each = f"transform({cells}, (c, i) -> aggregate(filter(it, q -> getbit(q.m, i) = 1), c, (o, q) -> {changed}))"
+    return _let("it", added, each)
 
 
 def sketch(keys: str) -> str:
@@ -84,12 +85,6 @@ def subtract(x: str, y: str) -> str:
     return f"zip_with({x}, {y}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'h', a.h ^ b.h))"
 
 
-def subtracted(a: str, b: str) -> str:
-    """The sketch of items ``a`` less that of ``b``: sketches are sums, so
-    taking the items of ``b`` out of it is the same."""
-    return inserted(inserted(_EMPTY, a, "+"), b, "-")
-
-
 def peel(cells: str, rounds: int = 4) -> str:
     """``cells`` (what is left), ``mine`` and ``theirs`` (digests recovered)."""
     found = f"filter(st.cells, c -> (c.n = 1 OR c.n = -1) AND {_check('c.k')} = c.h)"
@@ -113,37 +108,34 @@ def recovered(a: str, b: str, cells_a: str | None = None, cells_b: str | None =
     expressions of digests has.
 
     First from their sketches (``cells_a``, ``cells_b`` if they are at hand);
-    where that gets stuck, sketched larger until all peel off. Parts of more
-    than ``MOST`` digests are split on before they are sketched.
+    where that gets stuck, sketched larger until all peel off.
     """
     first = peel(subtract(cells_a or sketch(a), cells_b or sketch(b)))
-    return _let(
-        "pl",
-        first,
-        f"if({_CLEAR}, named_struct('todo', 0, 'mine', pl.mine, 'theirs', pl.theirs), {_larger(a, b)})",
-    )
+    return _let("pl", first, f"if({_CLEAR}, named_struct('todo', 0, 'mine', pl.mine, 'theirs', pl.theirs), {_larger(a, b)})")
 
 
 def _larger(a: str, b: str) -> str:
-    stuck = f"named_struct('a', w.a, 'b', w.b, 'mine', {_NONE}, 'theirs', {_NONE}, 'ok', false)"
+    # the items of both, those of b with sign -, in order of their digests: what
+    # shares first bits stands together, and the sketch of a part is the
+    # difference of both sides' sketches, as sketches are sums
+    both = f"sort_array(concat({items(a)}, {items(b, -1)}))"
+    width = f"greatest(1, int(ceil(log2((size({a}) + size({b})) / {LOAD}D))))"
+    bits = f"greatest(64 - (width + {FAN_BITS} * l), 0)"
+    starts = f"filter(sequence(0, size(t) - 1), i -> i = 0 OR shiftrightunsigned(t[i].k, {bits}) <> shiftrightunsigned(t[i - 1].k, {bits}))"
+    parts = _let("f", starts, "transform(f, (p, j) -> slice(t, p + 1, coalesce(get(f, j + 1), size(t)) - p))")
     tried = _let(
         "pl",
-        peel(subtracted("w.a", "w.b")),
-        f"if({_CLEAR}, named_struct('a', {_NO_ITEMS}, 'b', {_NO_ITEMS}, 'mine', pl.mine, 'theirs', pl.theirs, 'ok', true), {stuck})",
+        peel(inserted(_EMPTY, "w", "+"), rounds=8),
+        f"if({_CLEAR}, named_struct('w', slice(w, 1, 0), 'mine', pl.mine, 'theirs', pl.theirs),"
+        f" named_struct('w', w, 'mine', {_NONE}, 'theirs', {_NONE}))",
     )
-    dealt = f"(shiftrightunsigned(x.k, greatest({64 - FAN_BITS} - {FAN_BITS} * l, 0)) & {(1 << FAN_BITS) - 1}L) = j"
-    part = lambda side: f"filter(t.{side}, x -> {dealt})"
-    split = (
-        "filter(flatten(transform(s.todo, t -> transform(sequence(0, %d), j -> named_struct('a', %s, 'b', %s)))),"
-        " w -> size(w.a) + size(w.b) > 0)"
-    ) % ((1 << FAN_BITS) - 1, part("a"), part("b"))
-    each = f"transform({split}, w -> if(size(w.a) + size(w.b) > {MOST}, {stuck}, {tried}))"
-    left = "transform(filter(tried, t -> NOT t.ok), t -> named_struct('a', t.a, 'b', t.b))"
-    done = lambda side: f"concat(s.{side}, flatten(transform(filter(tried, t -> t.ok), t -> t.{side})))"
+    each = f"transform(flatten(transform(s.todo, t -> {parts})), w -> {tried})"
+    left = "filter(transform(tried, x -> x.w), w -> size(w) > 0)"
+    done = lambda side: f"concat(s.{side}, flatten(transform(tried, x -> x.{side})))"
     step = _let("tried", each, f"named_struct('todo', {left}, 'mine', {done('mine')}, 'theirs', {done('theirs')})")
-    start = f"named_struct('todo', array(named_struct('a', {items(a)}, 'b', {items(b)})), 'mine', {_NONE}, 'theirs', {_NONE})"
+    start = f"named_struct('todo', array({both}), 'mine', {_NONE}, 'theirs', {_NONE})"
     folded = f"aggregate(sequence(0, {-(-64 // FAN_BITS)}), {start}, (s, l) -> if(size(s.todo) = 0, s, {step}))"
-    return _let("f", folded, "named_struct('todo', size(f.todo), 'mine', f.mine, 'theirs', f.theirs)")
+    return _let("width", width, _let("g", folded, "named_struct('todo', size(g.todo), 'mine', g.mine, 'theirs', g.theirs)"))
 
 
 def written(cells: str) -> str:
@@ -152,9 +144,9 @@ def written(cells: str) -> str:
 
 def likeness(a: str, b: str, cells_a: str | None = None, cells_b: str | None = None) -> Column:
     """Share of the digests in both among those in one, from what differs."""
-    apart = F.expr(_let("d", recovered(a, b, cells_a, cells_b), "size(d.mine) + size(d.theirs)"))
-    both = (F.expr(f"size({a}) + size({b})") - apart) / F.lit(2.0)
-    return F.when(F.expr(f"size({a}) + size({b}) = 0"), F.lit(1.0)).otherwise(both / (both + apart))
+    share = "if(total = 0, 1D, CAST(total - apart AS DOUBLE) / (total + apart))"
+    apart = _let("r", recovered(a, b, cells_a, cells_b), "size(r.mine) + size(r.theirs)")
+    return F.expr(_let("total", f"size({a}) + size({b})", _let("apart", apart, share)))
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
