@@ -8,11 +8,12 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_staged: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,32 +37,44 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def staged(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, tag: str, compression: str = "zstd", **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation.
-    Shuffle files behind tables written before are freed as soon as the driver
-    no longer knows them, for which its garbage is collected here.
+    Shuffle files behind tables written before go as soon as the driver no
+    longer knows them, for which its garbage is collected here where the
+    session has a JVM in reach. :func:`dropped` deletes a table.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_root(spark)}/auralake/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", compression).parquet(path)
-    _staged.append(path)
+    df.write.options(compression=compression, **options).parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    if jvm := getattr(getattr(spark, "_sc", None), "_jvm", None):
+        jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`staged` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
+_kept: dict = {}
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete every table that :func:`staged` wrote in this session; call it
-    once the results that read them have been written."""
-    jvm, n = spark.sparkContext._jvm, 0
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        n += bool(fs.delete(path, True))
-    return n
+
+def kept_by_worker(kind: str, key, make):
+    """What a worker process keeps from task to task: the last thing made, and
+    nothing else, so that caches of several operators never add up."""
+    if (kind, key) not in _kept:
+        _kept.clear()
+        _kept[kind, key] = make()
+    return _kept[kind, key]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -70,6 +83,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_groups(batch: pa.RecordBatch, column: int, rows: int, size: int):
+    """Slices of a batch of at most ``rows`` rows and, if of several, ``size`` bytes of a column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = min(max(int(np.searchsorted(ends, before + size, "right")), at + 1), at + rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def ranked_within(
     df: DataFrame, keys: list[str], order: list[str], rank: str, counts: DataFrame, rows_per_part: int = 500, small_counts: bool = False
 ) -> DataFrame:
@@ -78,11 +102,15 @@ def ranked_within(
     ``counts`` has ``keys`` and ``n`` (rows of the key); it is small next to
     ``df``. A key of more than ``rows_per_part`` rows is dealt over several
     parts by the hash of ``order``, so a key with a third of all rows is
-    numbered by many tasks. Parts are numbered one after the other.
+    numbered by many tasks. Parts are numbered one after the other. A key of
+    n rows has parts of about sqrt(n) rows, and so about as many parts, from
+    the square of ``rows_per_part`` on. ``order`` should tell the rows of a key
+    apart: equal ones fall in one part.
     ``small_counts``: the caller has a bound on the rows of ``counts``, so it
     is broadcast.
     """
-    parts = counts.select(*keys, F.ceil(F.col("n") / F.lit(float(rows_per_part))).cast("long").alias("_parts"))
+    each = F.greatest(F.lit(float(rows_per_part)), F.sqrt(F.col("n").cast("double")))
+    parts = counts.select(*keys, F.ceil(F.col("n") / each).cast("long").alias("_parts"))
     dealt = df.join(F.broadcast(parts) if small_counts else parts, keys).withColumn(
         "_part", F.pmod(F.xxhash64(*order), F.greatest(F.col("_parts"), F.lit(1)))
     )
