@@ -1,74 +1,98 @@
 """Language identification by prediction by partial matching (operator 3).
 
-For each language a context tree over bytes up to ``order`` back holds how
+For each language a context tree over bytes, up to ``order`` back, holds how
 often each byte followed each context. Its statistics are frozen after
 training. A byte costs ``-log2`` of its share in the longest known context, or
 of the escape to the next shorter one (method C: as many escapes as there are
-distinct followers) plus its cost there; a text's language is the one with the
-shortest total code.
+distinct followers) plus its cost there, down to 8 bits for a byte that was
+never seen; a text's language is the one with the shortest total code.
 
-Bytes are ASCII-lower-cased; the ``symbols - 1`` most frequent ones have a
-symbol each, the others share one. Because the statistics are frozen, a byte's
-cost depends on the last ``order + 1`` symbols only, so each worker unfolds the
-trees into one table of costs a language, and scoring is a lookup a byte.
+Bytes are all 256, with ASCII letters lower-cased. A tree is kept as sorted
+arrays of the byte strings that occurred, so its size goes with the training
+texts and not with the alphabet. Because the statistics are frozen, a byte's
+cost depends on it and the ``order`` bytes before alone: the distinct strings
+of a block of text are looked up once for each language.
 
-Training reads whole texts of a sample of at most ``per_language`` rows of each
-language (those with the smallest hashes of doc_id); counting runs as a Spark
-aggregation over n-grams.
+Training reads whole texts of a sample of at most ``per_language`` distinct
+rows of each language, those with the smallest hashes of doc_id and text, so
+that rows with one doc_id are told apart and repeated rows count once; counting
+runs as a Spark aggregation over byte strings. The model has a part for each
+distinct ``lang``, a megabyte or two for 600 texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0,
 and so is everything if nothing can be learned; ties go to the first language
-in order of name; repeated rows are judged one by one; an empty table gives no
-rows; extra columns pass through, columns named ``lang_pred``, ``lang_score``
-and ``code_bits`` are replaced.
+in order of name; repeated rows are judged one by one; rows with a null doc_id
+can be learned from as any others; an empty table gives no rows; extra columns
+pass through, columns named ``lang_pred``, ``lang_score`` and ``code_bits`` are
+replaced.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_groups, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-CHUNK = 1 << 20
+#: bytes, and rows, that are scored together
+CHUNK, ROWS = 1 << 20, 512
 
 
 def fold(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+@dataclass
+class Tree:
+    """The contexts of one language, by length."""
+
+    strings: list[np.ndarray]  # of depth + 1 bytes, big-endian, sorted
+    direct: list[np.ndarray]  # bits of the last byte of each after the others
+    contexts: list[np.ndarray]  # of depth bytes, sorted
+    escape: list[np.ndarray]  # bits of the escape from each
+
+    @classmethod
+    def grown(cls, grams: np.ndarray, counts: np.ndarray, order: int) -> Tree:
+        tree = cls([], [], [], [])
+        for depth in range(order + 1):
+            strings, at = np.unique(grams & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+            n = np.bincount(at.reshape(-1), counts, len(strings))
+            contexts, at, kinds = np.unique(strings >> 8, return_inverse=True, return_counts=True)
+            all_of = np.bincount(at.reshape(-1), n, len(contexts)) + kinds
+            tree.strings.append(strings)
+            tree.direct.append(np.log2(all_of[at.reshape(-1)]) - np.log2(n))
+            tree.contexts.append(contexts)
+            tree.escape.append(np.log2(all_of) - np.log2(kinds))
+        return tree
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of order + 1 bytes, in ascending order."""
+        out = np.full(len(grams), 8.0)
+        for depth, (strings, direct, contexts, escape) in enumerate(zip(self.strings, self.direct, self.contexts, self.escape)):
+            own = grams & ((1 << 8 * (depth + 1)) - 1)
+            at, known = _found(contexts, own >> 8)
+            out += np.where(known, escape[at], 0)
+            at, known = _found(strings, own)
+            out = np.where(known, direct[at], out)
+        return out
+
+
+def _found(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
 @dataclass
 class Model:
-    key: str
     languages: list[str]
     order: int
-    symbols: int
-    classes: bytes  # byte -> symbol, lower-casing included
-    grams: list[tuple[np.ndarray, np.ndarray]]  # a language's (order+1)-grams of symbols and their counts
-
-    def costs(self, k: int) -> np.ndarray:
-        """Bits of a symbol after ``order`` symbols, flat, for language k."""
-        a = self.symbols
-        codes, counts = self.grams[k]
-        below = np.full(1, np.log2(a))
-        for depth in range(self.order + 1):
-            size = a ** (depth + 1)
-            n = np.bincount(codes % size, counts, size).reshape(-1, a)
-            total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
-                direct = -np.log2(n / (total + kinds))
-            # contexts of this depth end with those one shorter
-            shorter = np.broadcast_to(below.reshape(-1, a), (a, max(1, a ** (depth - 1)), a)).reshape(-1, a) if depth else below
-            below = np.where(n > 0, direct, escape + shorter).astype(np.float32)
-        return below.reshape(-1)
+    trees: list[Tree]
 
 
 def count_grams(docs: DataFrame, size: int) -> DataFrame:
@@ -93,68 +117,44 @@ def count_grams(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame, order: int = 3, symbols: int = 48, per_language: int = 600) -> Model:
+def train(labelled: DataFrame, order: int = 3, per_language: int = 600) -> Model:
     """Learn from ``text`` and ``lang``, null in neither, of ``labelled``."""
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("doc_id"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(counts)
-    picked = F.lit(False)
-    for lang in languages:  # a hash below this keeps about twice the rows that are taken
-        share = min(1.0, 2 * per_language / counts[lang] + 0.0)
-        picked = F.when(F.col("lang") == lang, F.col("_h") < int(-(2**63) + share * (2**64 - 2048))).otherwise(picked)
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    near = labelled.filter(picked).select("doc_id", "lang", "_h").withColumn("_k", F.row_number().over(first))
-    rows = near.filter(F.col("_k") <= per_language).select("doc_id", "lang").distinct()
-    sample = labelled.filter(picked).join(F.broadcast(rows), ["doc_id", "lang"], "left_semi")
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("doc_id", "text"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"), F.min("_h").alias("_lo"))
+    # a hash below this keeps about twice the rows that are taken, and always one
+    share = (F.col("_h") / 2.0**64 + 0.5) * F.col("_n") < 2.0 * per_language
+    near = known.select("lang", "_h").join(F.broadcast(sizes), "lang").filter(share | (F.col("_h") == F.col("_lo")))
+    least = F.slice(F.sort_array(F.collect_set("_h")), 1, per_language)
+    cuts = near.groupBy("lang").agg(F.array_max(least).alias("_cut"))
+    sample = known.join(F.broadcast(cuts), "lang").filter("_h <= _cut").dropDuplicates(["lang", "_h"])
     got = count_grams(sample, order + 1).toPandas()
-
-    used = np.zeros(256)
-    np.add.at(used, got["gram"].to_numpy(np.int64) & 255, got["n"].to_numpy(np.float64))
-    frequent = [int(b) for b in np.argsort(-used, kind="stable")[: symbols - 1] if used[b]]
-    symbol = np.zeros(256, np.int64)
-    symbol[frequent] = np.arange(1, len(frequent) + 1)
-    grams = []
+    trees, languages = [], sorted(got["lang"].unique())
     for lang in languages:
         own = got[got["lang"] == lang]
-        raw, code = own["gram"].to_numpy(np.int64), 0
-        for k in range(order, -1, -1):
-            code = code * symbols + symbol[(raw >> (8 * k)) & 255]
-        codes, at = np.unique(code, return_inverse=True)
-        grams.append((codes.astype(np.int32), np.bincount(at.reshape(-1), own["n"].to_numpy(np.float64), len(codes))))
-    return Model(uuid.uuid4().hex, languages, order, symbols, bytes(symbol[list(LOWER)].astype(np.uint8)), grams)
-
-
-_tables: dict[str, list[np.ndarray]] = {}
-
-
-def _unfolded(model: Model) -> list[np.ndarray]:
-    """The tables of one model a worker process; they outlive a task."""
-    if model.key not in _tables:
-        _tables.clear()
-        _tables[model.key] = [model.costs(k) for k in range(len(model.languages))]
-    return _tables[model.key]
+        trees.append(Tree.grown(own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64), order))
+    return Model(languages, order, trees)
 
 
 def code_lengths(texts: list[str], model: Model) -> np.ndarray:
     """Bits of each text in each language: texts x languages."""
-    tables, out = _unfolded(model), np.zeros((len(texts), len(model.languages)))
-    pad, group, size = bytes(model.order), [], 0
+    out, group, size = np.zeros((len(texts), len(model.languages))), [], 0
+    pad, order = bytes(model.order), model.order
 
     def score() -> None:
-        x = np.frombuffer(b"".join(d for _, d in group), np.uint8).astype(np.int32)
-        code = x[model.order :].copy()
-        for k in range(1, model.order + 1):
-            code += x[model.order - k : len(x) - k] * model.symbols**k
+        x = np.frombuffer(b"".join(d for _, d in group), np.uint8).astype(np.int64)
+        grams = sum(x[k : len(x) - order + k] << (8 * (order - k)) for k in range(order + 1))
+        grams, at = np.unique(grams.astype(np.uint32) if order < 4 else grams, return_inverse=True)
+        grams, at = grams.astype(np.int64), at.reshape(-1)
         ends = np.cumsum([len(d) for _, d in group])
-        bounds = np.stack([ends - [len(d) for _, d in group], ends - model.order], 1).reshape(-1)[:-1]
+        bounds = np.stack([ends - [len(d) for _, d in group], ends - order], 1).reshape(-1)[:-1]
         rows = [r for r, _ in group]
-        for k, costs in enumerate(tables):
-            np.add.at(out[:, k], rows, np.add.reduceat(costs[code], bounds, dtype=np.float64)[::2])
+        for k, tree in enumerate(model.trees):
+            np.add.at(out[:, k], rows, np.add.reduceat(tree.costs(grams)[at], bounds)[::2])
 
     for row, text in enumerate(texts):
-        data = pad + text.encode("utf-8", "surrogatepass").translate(model.classes)
-        for at in range(model.order, len(data), CHUNK):  # each part of a long text brings its context along
-            part = data[at - model.order : at + CHUNK]
+        data = pad + text.encode("utf-8", "surrogatepass").translate(LOWER)
+        for start in range(order, len(data), CHUNK):  # each part of a long text brings its context along
+            part = data[start - order : start + CHUNK]
             group.append((row, part))
             size += len(part)
             if size >= CHUNK:
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in (g for b in batches for g in in_groups(b, text_at, ROWS, 4 * CHUNK)):
             texts = batch.column(text_at).to_pylist()
             known = [k for k, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
             pred, score, bits = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
