@@ -8,11 +8,14 @@ the state, so only runs of benchmark words are walked.
 
 An automaton holds at most ``automaton_words`` item words, which bounds what is
 broadcast; a larger benchmark is split into several, and documents pass
-through one after the other.
+through one after the other, which finds the same windows.
 
-Spans that a window covers are removed from the text, blank for blank, until
-none is left; a document of which a share of more than ``max_coverage`` is
-covered is marked to be dropped.
+Spans that a window covers are removed from the text, and what then stands
+together is searched again, round by round, until no window is left. A round
+ends when all automata have had the text, so their number never changes the
+result; rounds after the first only take the texts that the last one changed.
+A document of which a share of more than ``max_coverage`` is covered is marked
+to be dropped.
 
 Defined cases: a null text has no words and stays null; items with no words are
 ignored; item_ids that repeat count once; an empty benchmark leaves all
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 from .common import staged, table
 from .words import ALNUM, places, split
 
-LEAK = "n_words long, spans array<long>, items array<string>, clean_text string"
+LEAK = "n_words long, spans array<long>, items array<string>, clean_text string, left array<long>, open boolean"
 
 
 class SuffixAutomaton:
@@ -148,37 +151,49 @@ def automata(benchmark: DataFrame, window: int, automaton_words: int) -> Iterato
         yield SuffixAutomaton(held, window)
 
 
-def _pass(docs: DataFrame, automaton: SuffixAutomaton | None) -> DataFrame:
-    """Adds to ``leak`` what one automaton finds."""
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and out[-1][1] >= lo:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def _search(docs: DataFrame, automaton: SuffixAutomaton | None, first: bool, last: bool, alone: bool) -> DataFrame:
+    """``leak`` after one automaton of a round has had the texts.
+
+    ``left``: what the round has found so far. The ``last`` automaton of a round
+    ends it: what was found is cut out, and texts that this changed are open. An
+    automaton that is ``alone`` goes through all rounds at once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(automaton)
     schema = T.StructType(docs.schema.fields)
+    longs = pa.list_(pa.int64())
     kind = pa.struct(
-        [("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("clean_text", pa.string())]
+        [("n_words", pa.int64()), ("spans", longs), ("items", pa.list_(pa.string())), ("clean_text", pa.string())]
+        + [("left", longs), ("open", pa.bool_())]
     )
+    flat = lambda spans: [x for s in spans for x in s]
+    paired = lambda x: np.array(x or [], np.int64).reshape(-1, 2).tolist()
 
     def one(text: str | None, seen: dict) -> dict:
-        words, found = split(text, ALNUM), sent.value
-        spans, items = found.matches(words) if found and words else ([], set())
+        found = sent.value
         clean = text if seen["clean_text"] is None else seen["clean_text"]
-        old = np.array(seen["spans"] or [], np.int64).reshape(-1, 2).tolist()
-        if old and spans:
-            merged: list[list[int]] = []
-            for lo, hi in sorted(old + spans):
-                if merged and merged[-1][1] >= lo:
-                    merged[-1][1] = max(merged[-1][1], hi)
-                else:
-                    merged.append([lo, hi])
-            old = merged
-        left = spans if clean == text else found.matches(split(clean, ALNUM))[0] if spans else []
-        while left:
-            clean = without(clean, left)
-            left = found.matches(split(clean, ALNUM))[0]
-        return {
-            "n_words": len(words),
-            "spans": [x for s in (old or spans) for x in s],
-            "items": sorted({*(seen["items"] or []), *items}),
-            "clean_text": clean,
-        }
+        words = split(clean, ALNUM)
+        spans, items = found.matches(words) if found and words else ([], set())
+        left = merged(paired(seen["left"]) + spans)
+        out = seen | {"left": flat(left), "clean_text": clean, "open": True}
+        if first:
+            out |= {"n_words": len(words), "spans": out["left"], "items": sorted({*(seen["items"] or []), *items})}
+        if last:
+            out |= {"left": [], "open": bool(left) and not alone}
+            while left:
+                clean = without(clean, left)
+                left = found.matches(split(clean, ALNUM))[0] if alone else []
+            out["clean_text"] = clean
+        return out
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -196,12 +211,28 @@ def find_leaks(
     covered, as lo, hi, lo, hi, …), ``items``, ``clean_text``, ``drop``."""
     kind = T.DataType.fromDDL(LEAK)
     found = docs.withColumn("leak", F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields)))
-    passed = False
-    for automaton in automata(benchmark, window, automaton_words):
-        found = _pass(staged(found, "leaks") if passed else found, automaton)
-        passed = True
-    if not passed:
-        found = _pass(found, None)
+
+    def through(found: DataFrame, first: bool) -> tuple[DataFrame, bool]:
+        """One round, and whether it was the only one needed."""
+        several = automata(benchmark, window, automaton_words)
+        automaton, after, alone = next(several, None), next(several, None), True
+        while after is not None:
+            alone = False
+            found = staged(_search(found, automaton, first, False, False), "leaks")
+            automaton, after = after, next(several, None)
+        return _search(found, automaton, first, True, alone), alone
+
+    found, done = through(found, True)
+    parts = []
+    while not done:
+        found = staged(found, "round")
+        parts.append(found.filter("NOT leak.open"))
+        found = found.filter("leak.open")
+        done = found.isEmpty()
+        if not done:
+            found, done = through(found, False)
+    for part in parts:
+        found = found.unionByName(part)
     spans = F.col("leak.spans")
     n_hit = F.aggregate(
         F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x

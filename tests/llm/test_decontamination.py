@@ -57,6 +57,7 @@ def test_find_leaks(spark, make_docs):
     texts += [None, "", "!!!", "x One two three FOUR five-six seven y", "a " * 40_000, texts[0], texts[0]]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = make_docs(texts, extra={"leak": F.lit("clash"), "n_hit": F.lit(1)})
+    cleaned = []
     for automaton_words in (200_000, 9):
         got = find_leaks(docs, bench, window=5, max_coverage=0.9, automaton_words=automaton_words).collect()
         assert len(got) == len(texts)
@@ -65,10 +66,21 @@ def test_find_leaks(spark, make_docs):
             leak = r["leak"]
             assert (leak["n_words"], leak["n_hit"], sorted(leak["items"])) == (n, len(hit), names)
             assert leak["drop"] == (len(hit) > 0.9 * n)
-            if automaton_words > 9:
-                assert not brute(leak["clean_text"], items, 5)[1]
+            assert not brute(leak["clean_text"], items, 5)[1]
             if not hit:
                 assert leak["clean_text"] == texts[r["doc_id"]]
+        cleaned.append({r["doc_id"]: r["leak"]["clean_text"] for r in got})
+    assert cleaned[0] == cleaned[1]
     clean = find_leaks(docs, bench.limit(0)).filter("leak.n_hit > 0 OR NOT (leak.clean_text <=> text)")
     assert clean.count() == 0
     assert find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_windows_that_come_together_in_the_end(spark, make_docs):
+    items = [(1, "a b c d e f"), (2, "u v w x y z"), (3, "d d d d d g")]
+    docs = make_docs(["a b c u v w x y z d e f", "p a b c u v w x y z d e f q r", "nothing here"])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for automaton_words in (100, 12, 6):
+        got = [r["leak"] for r in find_leaks(docs, bench, window=6, automaton_words=automaton_words).orderBy("doc_id").collect()]
+        assert [x["clean_text"].split() for x in got] == [[], ["p", "q", "r"], ["nothing", "here"]]
+        assert [x["n_hit"] for x in got] == [6, 6, 0] and [x["items"] for x in got] == [["2"], ["2"], []]
