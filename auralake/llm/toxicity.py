@@ -10,8 +10,10 @@ expected number of T tokens and their rate give the document's score by a
 logistic regression; adjoining tokens of at least ``0.5`` are its spans.
 
 Training reads whole texts of a sample of at most ``sample[0]`` toxic and
-``sample[1]`` clean labelled documents (those with the smallest hashes of
-doc_id), weighted back to their true shares.
+``sample[1]`` clean labelled documents, and of at most ``sample_bytes`` bytes of
+either kind (those with the smallest hashes of doc_id and text, so that rows
+with one doc_id are told apart and repeated rows count once), weighted back to
+their true shares.
 
 Defined cases: a null or empty text has no tokens and gets the score of none;
 a document with several labels counts once for each; without both kinds of
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_groups, kept_by_worker, table
 from .language_id import fold
 from .words import ALNUM, places
 
@@ -129,15 +131,11 @@ class _Emissions(dict):
         return e
 
 
-_emissions: dict[str, _Emissions] = {}
-
-
-def _emissions_of(model: Model, most: int = 300_000) -> _Emissions:
+def _emissions_of(model: Model, most: int = 200_000) -> _Emissions:
     """Emissions of the words that this worker has met; bounded."""
-    known = _emissions.get(model.key)
-    if known is None or len(known) > most:
-        _emissions.clear()
-        known = _emissions[model.key] = _Emissions(model)
+    known = kept_by_worker("emissions", model.key, lambda: _Emissions(model))
+    if len(known) > most:
+        known.clear()
     return known
 
 
@@ -238,17 +236,31 @@ def fit(rows: list[tuple[str | None, int]], prior: float, rounds: int = 30, supp
     return Model(weights, float(bias), links, logistic(x, labels, weight), prior)
 
 
-def train(labelled: DataFrame, sample: tuple[int, int] = (1500, 3000), **options) -> Model:
+def train(labelled: DataFrame, sample: tuple[int, int] = (1500, 3000), sample_bytes: int = 64 << 20, **options) -> Model:
     """Learn from ``doc_id``, ``text`` and ``toxic`` (0 or 1) of ``labelled``."""
-    labelled = labelled.filter("toxic IN (0, 1)").withColumn("_h", F.xxhash64("doc_id"))
-    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = F.lit(False)
-    for y, most in ((0, sample[1]), (1, sample[0])):
-        share = min(1.0, 1.2 * most / max(1, counts.get(y, 0)))
-        below = int(-(2**63) + share * (2**64 - 2048))
-        picked = picked | ((F.col("toxic") == y) & (F.col("_h") < below))
-    rows = sorted((r["toxic"], r["_h"], r["text"] or "") for r in labelled.filter(picked).select("toxic", "_h", "text").collect())
-    kept = [(t, y) for y, most in ((0, sample[1]), (1, sample[0])) for t in [x[2] for x in rows if x[0] == y][:most]]
+    known = labelled.filter("toxic IN (0, 1)").withColumn("_h", F.xxhash64("doc_id", "text"))
+    sizes = known.groupBy("toxic").agg(
+        F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_h").alias("_d"), F.min("_h").alias("_lo")
+    )
+    counts = {r["toxic"]: r["_n"] for r in sizes.collect()}
+    most = F.when(F.col("toxic") == 1, sample[0]).otherwise(sample[1])
+    # a hash below this keeps about twice the rows that are taken, and always one; two rows of sizes, two kinds
+    share = (F.col("_h") / 2.0**64 + 0.5) * F.col("_d") < 2.0 * most
+    length = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_b")
+    near = known.select("toxic", "_h", length).join(F.broadcast(sizes), "toxic").filter(share | (F.col("_h") == F.col("_lo")))
+    found = near.groupBy("toxic").agg(F.slice(F.sort_array(F.collect_set(F.struct("_h", "_b"))), 1, max(sample)).alias("first"))
+    cuts = []
+    for r in found.collect():
+        total, cut = 0, None
+        for h, size in r["first"][: sample[0] if r["toxic"] == 1 else sample[1]]:
+            total += size
+            if total > sample_bytes:
+                break
+            cut = h
+        if cut is not None:
+            cuts.append(f"(toxic = {int(r['toxic'])} AND _h <= {cut})")
+    rows = known.filter(" OR ".join(cuts) or "false").select("toxic", "_h", "text").dropDuplicates(["toxic", "_h"]).collect()
+    kept = [(t or "", y) for y, _, t in sorted((r["toxic"], r["_h"], r["text"]) for r in rows)]
     total = sum(counts.values())
     return fit(kept, counts.get(1, 0) / total if total else 0.0, **options)
 
@@ -299,8 +311,9 @@ def offending(text: str, p: np.ndarray) -> list[dict]:
     return spans
 
 
-def score_documents(docs: DataFrame, model: Model, group: int = 500) -> DataFrame:
-    """``docs`` with ``toxicity`` (``TOXICITY``)."""
+def score_documents(docs: DataFrame, model: Model, group: int = 500, group_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with ``toxicity`` (``TOXICITY``); at most ``group`` texts are
+    scored together, and of more than ``group_bytes`` only one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("toxicity")
     text_at = kept.columns.index("text")
@@ -309,8 +322,7 @@ def score_documents(docs: DataFrame, model: Model, group: int = 500) -> DataFram
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, group):
-                batch = whole.slice(at, group)
+            for batch in in_groups(whole, text_at, group, group_bytes):
                 found = pa.array(score_texts(batch.column(text_at).to_pylist(), sent.value), kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "toxicity"])
 
