@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpointed, connected_components, maybe_in, staged, table
+from .common import checkpointed, connected_components, kept_by_worker, maybe_in, staged, table
 from .words import SPACED, split
 
 BUCKETS = 1 << 21
@@ -50,15 +50,13 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; of a shorter text the one of all its words."""
     words = split(text, SPACED)
-    if len(_hashes) > 300_000:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = kept_by_worker("words", "xxh3", _WordHashes)
+    if len(hashes) > 200_000:
+        hashes.clear()
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(n, len(w))
     x = np.full(len(w) - size + 1 if size else 0, size, np.uint64)
     for k in range(size):

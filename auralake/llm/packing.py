@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked_within, staged, table
+from .common import in_groups, ranked_within, staged, table
 from .tokens import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,21 +40,27 @@ def tokenized_pieces(docs: DataFrame, capacity: int, end_id: int, path: str, kee
     """Pieces of every document: ``PIECES``, and ``ids array<int>`` if asked for."""
 
     def run(batches):
-        encode, end = encoder(path).encode, np.uint32(end_id)
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+        encode, end = encoder(path).encode, np.array([end_id], np.uint32)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        for batch in (g for b in batches for g in in_groups(b, 1, 2000, 8 << 20)):
+            cols: list[list] = [[], [], [], [], []]
+            kept = []
             texts = (x.as_py() for x in batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                ids = np.append(ids, end)
-                for k, (s, n) in enumerate(cut(len(ids), capacity)):
-                    part = ids[s : s + n]
-                    for c, v in zip(cols, (doc_id, k, s, n, zlib.crc32(part.astype("<u4").tobytes()))):
+                n = len(ids) + 1
+                for k, (s, m) in enumerate(cut(n, capacity)):
+                    crc = zlib.crc32(ids[s : s + m])  # the last piece has the end id as well
+                    for c, v in zip(cols, (doc_id, k, s, m, zlib.crc32(end, crc) if s + m == n else crc)):
                         c.append(v)
-                    if keep_ids:
-                        cols[5].append(part.astype(np.int32))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                if keep_ids:
+                    kept += [ids, end]
+            arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            if keep_ids:
+                offsets = np.cumsum([0, *cols[3]], dtype=np.int32)
+                flat = np.concatenate(kept).view(np.int32) if kept else np.zeros(0, np.int32)
+                arrays.append(pa.ListArray.from_arrays(offsets, flat))
+            yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * keep_ids)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * keep_ids)
 
@@ -116,18 +122,18 @@ def pack_documents(
     schema = "length long, rank_from long, rank_to long, sequence long, each long, first_offset long"
     # a run empties or splits a set of equally free sequences: at most a few for each of `capacity` lengths
     plan = spark.createDataFrame(best_fit(histogram, capacity), schema)
+    run = F.struct("rank_from", "rank_to", "sequence", "each", "first_offset")
+    plan = plan.groupBy("length").agg(F.collect_list(run).alias("runs"))
     bounded = spark.createDataFrame(sorted(histogram.items()), "length long, n long")
-    ranked = ranked_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", bounded, small_counts=True)
-    slot = F.col("rank") - F.col("rank_from")
-    return (
-        ranked.join(F.broadcast(plan), "length")
-        .filter("rank >= rank_from AND rank < rank_to")
-        .select(
-            *pieces.columns,
-            (F.col("sequence") + F.floor(slot / F.col("each"))).alias("sequence_id"),
-            (F.col("first_offset") + F.pmod(slot, F.col("each")) * F.col("length")).alias("offset"),
-        )
-    )
+    # the written table's row numbers tell repeated rows apart
+    numbered = pieces.withColumn("_at", F.monotonically_increasing_id())
+    ranked = ranked_within(numbered, ["length"], ["doc_id", "piece", "ids_crc32", "_at"], "rank", bounded, small_counts=True)
+    own = F.expr("filter(runs, r -> rank >= r.rank_from AND rank < r.rank_to)[0]").alias("r")
+    return ranked.join(F.broadcast(plan), "length").select(*pieces.columns, "rank", own).select(
+        *pieces.columns,
+        F.expr("r.sequence + (rank - r.rank_from) div r.each").alias("sequence_id"),
+        F.expr("r.first_offset + (rank - r.rank_from) % r.each * length").alias("offset"),
+    )
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -10,9 +10,12 @@ Block layout, little-endian: ``DAC1``, ids (u64), levels (u8); then for each
 level: chunks (u64), bitmap, directory (u32 each), chunks. The last level has
 neither bitmap nor directory.
 
-Blocks are rows of a table in the shared folder, written in ascending order of
-doc_id by tasks that each own a range of ids; Spark's committer makes the files
-appear whole or not at all, on any file system that Spark writes to.
+Blocks are rows of Parquet files in the shared folder, written in ascending order
+of doc_id by tasks that each own a range of ids; Spark's committer makes the files
+appear whole or not at all, on any file system that Spark writes to. The files
+are neither compressed nor dictionary-coded, so a block in them is the codes
+themselves, and :func:`tokens_at` reads single ids from it in place. It finds
+the block of a position by an index of one row a block.
 
 Defined cases: a null or empty text has the end id alone; repeated rows keep a
 place each, ties in doc_id stand in order of text; an empty table gives no
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import in_groups, maybe_in, staged, table
 from .tokens import default_path, encoder
 
 MAGIC, RANK_BITS = b"DAC1", 512
@@ -119,7 +122,7 @@ def write_token_files(
     path = path or default_path()
 
     def run(batches):
-        encode, end = encoder(path).encode, np.uint32(end_id)
+        encode, end = encoder(path).encode, np.array([end_id], np.uint32)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         held, doc_ids, sizes, n = [], [], [], 0
 
@@ -135,9 +138,9 @@ def write_token_files(
             [("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64())]
             + [("doc_ids", longs), ("doc_tokens", longs), ("codes", pa.binary())]
         )
-        for batch in batches:
+        for batch in (g for b in batches for g in in_groups(b, 1, 2000, 8 << 20)):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(x.as_py() for x in batch.column(1)), strict=True):
-                held.append(np.append(ids, end))
+                held += [ids, end]
                 doc_ids.append(doc_id)
                 sizes.append(len(ids) + 1)
                 n += len(ids) + 1
@@ -147,16 +150,53 @@ def write_token_files(
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(run, BLOCKS), "token_files")
+    as_they_are = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+    return staged(ordered.mapInArrow(run, BLOCKS), "token_files", "none", **as_they_are)
 
 
-def read_token_files(blocks: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files."""
+def _placed(blocks: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of every block with ``start``, the ids before it in all files."""
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row a written part: as many as tasks wrote, never as many as documents
     starts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    start = (F.col("before") + F.col("part_start")).alias("start")
+    return blocks.join(F.broadcast(starts), "part").select(start, *columns)
+
+
+def tokens_at(blocks: DataFrame, positions: DataFrame, span: int = 1 << 17) -> DataFrame:
+    """``position, id`` for the rows of ``positions`` (a long ``position``: the
+    number of the id in all files). Positions beyond the files give no row.
+
+    Positions meet their block through spans of ``span`` ids; then each block
+    that is asked for comes once, and its ids are looked up one by one in the
+    codes, without decoding others.
+    """
+    index = _placed(blocks, "part", "block", "n_tokens")
+    first, last = F.floor(F.col("start") / span), F.floor((F.col("start") + F.col("n_tokens") - 1) / span)
+    spans = index.select("part", "block", "start", "n_tokens", F.explode(F.sequence(first, last)).alias("span"))
+    asked = positions.select("position", F.floor(F.col("position") / span).alias("span"))
+    placed = asked.join(spans, "span").filter("position >= start AND position < start + n_tokens")
+    # of one block: at most as many distinct positions as it has ids
+    wanted = placed.groupBy("part", "block", "start").agg(F.collect_set("position").alias("positions"))
+
+    def run(batches):
+        for batch in batches:
+            at, ids = [], []
+            for start, some, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                block = Codes(memoryview(codes.as_buffer()))
+                at += some
+                ids += [block[p - start] for p in some]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids, pa.int64())], ["position", "id"])
+
+    key = F.xxhash64("part", "block")
+    some = maybe_in(blocks.select("part", "block", "codes", key.alias("_key")), "_key", wanted.select(key)).drop("_key")
+    found = wanted.join(some, ["part", "block"]).select("start", "positions", "codes")
+    return found.mapInArrow(run, "position long, id long")
+
 
+def read_token_files(blocks: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files."""
     def run(batches):
         for batch in batches:
             rows: list[list] = [[], [], [], []]
@@ -171,11 +211,8 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
                 [pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "n_tokens", "ids_crc32"]
             )
 
-    return (
-        blocks.join(F.broadcast(starts), "part")
-        .select((F.col("before") + F.col("part_start")).alias("start"), "doc_ids", "doc_tokens", "codes")
-        .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    )
+    found = _placed(blocks, "doc_ids", "doc_tokens", "codes")
+    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

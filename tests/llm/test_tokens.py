@@ -1,14 +1,16 @@
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from auralake.llm.packing import best_fit, cut, pack_documents, sequences
-from auralake.llm.token_files import Codes, read_token_files, write_codes, write_token_files
-from auralake.llm.tokens import Encoder, default_path
+from auralake.llm.token_files import Codes, read_token_files, tokens_at, write_codes, write_token_files
+from auralake.llm.tokens import Encoder, cuts_at_blanks, default_path
 
 ODD = [
     None, "", " ", "\n", "a", "a b", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "a\n", "\na", "don't it's 's",
@@ -37,6 +39,28 @@ def test_pieces_give_the_ids_of_whole_texts(plain):
             assert ids.tolist() == plain(text), ascii(text)[:80]
 
 
+def test_letters_with_punctuation_around(plain):
+    r = random.Random(8)
+    words = ["Foo", "été", "ñ", "你好", "ªº", "ǅ", "x", "Ⅷ", "²", "a\u0301", "ﬁ", "don't", "endoftext", ""]
+    around = ["", ".", ",", "...", '("', '"', ").", "--", "?!", "'", "<|", "|>", "\x01", "1"]
+    pieces = [r.choice(around) + r.choice(words) + r.choice(around) for _ in range(900)]
+    texts = [r.choice([" ", "\n"]).join(pieces[k : k + 9]) for k in range(0, 900, 9)]
+    for text, ids in zip(texts, Encoder(default_path()).encode(texts), strict=True):
+        assert ids.tolist() == plain(text), ascii(text)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path, plain):
+    spec = json.loads(open(default_path(), encoding="utf-8").read())
+    assert cuts_at_blanks(spec)
+    added = {"id": 50257, "content": "two words", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [added]}):
+        assert not cuts_at_blanks(spec | change)
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    (ids,) = Encoder(str(path)).encode(["Some TEXT\nand More"])
+    assert ids.tolist() == plain("some text\nand more")
+
+
 def test_long_text_in_chunks(plain):
     text = "alpha beta\ngamma's " * 130_000 + "end"
     (ids,) = Encoder(default_path()).encode([text])
@@ -119,3 +143,32 @@ def test_token_files(spark, make_docs, plain):
     assert read_token_files(write_token_files(docs.limit(0))).count() == 0
     small = docs.filter("doc_id < 3")
     assert read_token_files(write_token_files(small.union(small))).count() == 6
+
+
+def test_single_ids_from_files(spark, make_docs, plain):
+    texts = ODD + random_texts(60)
+    blocks = write_token_files(make_docs(texts).repartition(5), end_id=0, block_tokens=300)
+    ids = [i for t in texts for i in plain(t) + [0]]
+    r = random.Random(4)
+    asked = [0, len(ids) - 1, len(ids), -1, *r.choices(range(len(ids)), k=1000)]
+    positions = spark.createDataFrame([(p,) for p in asked], "position long")
+    for span in (64, 1 << 17):
+        got = {x["position"]: x["id"] for x in tokens_at(blocks, positions, span).collect()}
+        assert got == {p: ids[p] for p in asked if 0 <= p < len(ids)}
+    path = blocks.inputFiles()[0]
+    column = pq.ParquetFile(path.removeprefix("file://")).metadata.row_group(0).column(6)
+    assert column.path_in_schema == "codes" and column.compression == "UNCOMPRESSED" and not column.has_dictionary_page
+
+
+def test_an_id_is_read_without_decoding_others():
+    ids = np.random.default_rng(1).integers(0, 50_000, 100_000).astype(np.uint32)
+    data = bytearray(write_codes(ids))
+    whole, at = np.frombuffer(data, np.uint8), 54_321
+    codes = Codes(memoryview(data))
+    first = codes.levels[0][2]  # the lowest chunks of all ids, in place
+    offset = first.__array_interface__["data"][0] - whole.__array_interface__["data"][0]
+    spoilt = np.frombuffer(data, np.uint8).copy()
+    spoilt[offset : offset + len(first)] ^= 255
+    spoilt[offset + at] ^= 255
+    data[:] = spoilt.tobytes()
+    assert codes[at] == ids[at] and codes[at + 1] != ids[at + 1]
