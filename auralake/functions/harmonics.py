@@ -37,3 +37,8 @@ def degree_scale(order: int = 3) -> list[float]:
 def energy_split(diffuse: Column) -> Column:
     """Gains of the direct and the diffuse part."""
     return F.struct(F.sqrt(1 - diffuse).alias("direct"), F.sqrt(diffuse).alias("diffuse"))
+
+
+def full_normalised(acn: Column, value: Column) -> Column:
+    """From the semi-normalised (SN3D) to the fully normalised (N3D) scale of a channel number."""
+    return value * F.sqrt(2 * F.floor(F.sqrt(acn.cast("double"))) + 1)

@@ -89,3 +89,12 @@ def render_comment(renderer: Column, layout: Column, loudness: Column, peak: Col
         F.when(loudness.isNotNull(), F.format_string("loudness=%.1fLUFS", loudness)),
         F.when(peak.isNotNull(), F.format_string("peak=%.2fdBTP", peak)),
     )
+
+
+#: Azimuth and elevation of the labels that binaural rendering knows. It does not parse others.
+BINAURAL_DIRECTIONS = [
+    ("M+000", 0, 0), ("M+030", 30, 0), ("M-030", -30, 0), ("M+060", 60, 0), ("M-060", -60, 0), ("M+090", 90, 0), ("M-090", -90, 0),
+    ("M+110", 110, 0), ("M-110", -110, 0), ("M+135", 135, 0), ("M-135", -135, 0), ("M+180", 180, 0),
+    ("U+030", 30, 30), ("U-030", -30, 30), ("U+000", 0, 30), ("U+045", 45, 30), ("U-045", -45, 30), ("U+110", 110, 30), ("U-110", -110, 30),
+    ("U+135", 135, 30), ("U-135", -135, 30), ("U+180", 180, 30), ("T+000", 0, 90), ("B+045", 45, -30), ("B-045", -45, -30),
+]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,12 @@ def least_start(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> Da
     until nothing gets smaller; each round is written out, so a long chain
     neither grows the plan nor recomputes what a lost executor held.
     """
+    spark = roots.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="auralake-"))
     best = roots.groupBy("node").agg(F.min("start").alias("start")).checkpoint()
     for _ in range(most_rounds):
         step = best.join(edges, best["node"] == edges["parent"]).select(
@@ -77,3 +86,52 @@ def changed_fields(before: DataFrame, after: DataFrame, keys: list[str], fields:
     ))
     rows = joined.select(*keys, F.explode(each).alias("d")).select(*keys, "d.*")
     return rows.filter(~F.col("was").eqNullSafe(F.col("is")))
+
+
+def mirror_groups(channels: DataFrame, bed: list[str], ord_: str, az: str, el: str, tolerance: float = 1.0) -> DataFrame:
+    """Channels of a bed as groups: ``bed, left_ord, right_ord``.
+
+    In list order, a channel off the middle takes the first one after it at the
+    opposite azimuth and the same elevation, to less than ``tolerance`` degrees,
+    that is still free; what finds no partner, or has no position, is alone
+    (``right_ord`` null). A bed is one object's channels, a few dozen at most.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in channels.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in bed) + f", left_ord {kinds[ord_]}, right_ord {kinds[ord_]}"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(ord_)[[ord_, az, el]].itertuples(index=False, name=None)
+        free, out = list(rows), []
+        while free:
+            o, a, e = free.pop(0)
+            near = (k for k, (_, b, f) in enumerate(free) if abs(a + b) < tolerance and abs(e - f) < tolerance)
+            k = next(near, None) if abs(a) > tolerance else None
+            if k is None:
+                out.append((o, None))
+            else:
+                p = free.pop(k)[0]
+                out.append((o, p) if a >= 0 else (p, o))
+        found = pd.DataFrame(out, columns=["left_ord", "right_ord"]).astype("Int64")
+        for c in reversed(bed):
+            found.insert(0, c, pdf[c].iloc[0])
+        return found
+
+    return channels.select(*bed, ord_, az, el).groupBy(*bed).applyInPandas(run, schema)
+
+
+def overriding(overrides: DataFrame, keys: list[str], label: str, ord_: str, values: list[str]) -> DataFrame:
+    """Of each key the override that counts: one for its channel beats one for
+    the whole object (``label`` null); of a kind the last in the list."""
+    rank = F.struct(F.col(label).isNotNull(), F.col(ord_))
+    best = overrides.groupBy(*keys).agg(F.max_by(F.struct(*values), rank).alias("_o"))
+    return best.select(*keys, *(F.col(f"_o.{v}").alias(v) for v in values))
+
+
+def padded_slots(events: DataFrame, track: list[str], block: list[str], slot: str) -> DataFrame:
+    """Every block of a track with as many slots as its fullest block; those that
+    it lacks are rows with nulls (``silent``)."""
+    most = events.groupBy(*track).agg((F.max(slot) + 1).alias("_n"))
+    every = events.select(*track, *block).distinct().join(most, track)
+    every = every.withColumn(slot, F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")))).drop("_n")
+    marked = events.withColumn("_real", F.lit(True))
+    return every.join(marked, [*track, *block, slot], "left").withColumn("silent", F.col("_real").isNull()).drop("_real")

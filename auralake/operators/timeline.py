@@ -54,16 +54,27 @@ def ramp_value(frame: Column, start: Column, ramp: Column, before: Column, after
 
 
 def active_at(blocks: DataFrame, frames: DataFrame, key: list[str], frame: str, start: str, end: str, bucket: int) -> DataFrame:
-    """The block that is active at each frame, by an equi-join on key and time bucket.
+    """The block that is active at each frame; ``blocks`` of a key do not overlap
+    (``last_start_wins``), their ends may be open.
 
-    Intervals are dealt to every bucket of ``bucket`` frames that they touch, so
-    a long timeline of one key spreads over many tasks and no nested loop is planned.
+    The last block that starts at or before a frame is found among the blocks
+    that start in the frame's bucket of ``bucket`` frames; the one that started
+    last before a bucket is carried into it. So a row is never copied, and what
+    is ordered together is one bucket of a key and its row a bucket.
     """
-    lo, hi = F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket)
-    spread = blocks.filter(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
-    asked = frames.withColumn("_bucket", F.floor(F.col(frame) / bucket))
-    hit = (F.col(frame) >= F.col(start)) & (F.col(frame) < F.col(end))
-    return asked.join(spread, [*key, "_bucket"]).filter(hit).drop("_bucket")
+    columns = [c for c in blocks.columns if c not in key]
+    block = F.struct(*(F.col(c) for c in columns))
+    own = blocks.filter(F.col(start) < open_end(F.col(end))).select(*key, F.col(start).alias("_at"), block.alias("_b"))
+    asked = frames.select(*key, F.col(frame).alias("_at"), F.struct(*(F.col(c) for c in frames.columns if c not in key)).alias("_f"))
+    both = own.unionByName(asked, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / bucket))
+    # one row for each bucket of a key that has any: its last block, then the last one before it
+    last = both.groupBy(*key, "_bucket").agg(F.max_by("_b", F.when(F.col("_b").isNotNull(), F.col("_at"))).alias("_last"))
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*key, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy(*key, "_bucket").orderBy("_at", F.col("_f").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.last("_b", ignorenulls=True).over(within)).filter("_f IS NOT NULL")
+    hit = found.join(carried, [*key, "_bucket"]).withColumn("_hit", F.coalesce("_own", "_carried"))
+    return hit.filter(F.col("_hit").isNotNull() & (F.col("_at") < open_end(F.col(f"_hit.{end}")))).select(*key, "_f.*", *(F.col(f"_hit.{c}").alias(c) for c in columns))
 
 
 def clipped(start: Column, end: Column, lo: Column, hi: Column) -> Column:
@@ -90,3 +101,29 @@ def nanos_to_samples(nanos: Column, rate: Column) -> Column:
 
 def default_ramp(rate: Column, ms: int = 5) -> Column:
     return F.floor(rate * ms / 1000).cast("long")
+
+
+def trimmed(start_s: Column, end_s: Column, rate: Column, frames: Column) -> Column:
+    """``start, end`` in frames of a window in seconds; an open end is the last
+    frame. Null where there is nothing to keep: a negative start, an end at or
+    before it, a start beyond the signal, or less than one frame."""
+    nearest = lambda s: F.floor(s * rate + 0.5).cast("long")  # noqa: E731  half away from 0, as times are not negative
+    lo, hi = nearest(start_s), F.least(F.coalesce(nearest(end_s), frames), frames)
+    valid = (start_s >= 0) & (end_s.isNull() | (end_s > start_s)) & (lo < frames) & (lo < hi)
+    return F.when(valid, F.struct(lo.alias("start"), hi.alias("end")))
+
+
+def smoothed(first: Column, last: Column, at: Column, frames: Column, plain: Column) -> Column:
+    """The gain inside a processing block of ``frames``: linear from its first to
+    its last frame where both are known, else ``plain``."""
+    alpha = F.when(frames > 1, at / (frames - 1)).otherwise(F.lit(0.0))
+    return F.when(first.isNotNull() & last.isNotNull(), first * (1 - alpha) + last * alpha).otherwise(plain)
+
+
+def keyframed(time: Column, at: Column, length: Column, before: Column, value: Column) -> Column:
+    """The value at ``time`` of a keyframe at ``at`` that is reached over ``length``
+    from the one ``before`` it (null: the first). A time before the first has its value."""
+    part = (time - at) / length
+    moving = before.isNotNull() & (length > 0) & (part < 1)
+    a = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
+    return F.when(moving, before * (1 - a) + value * a).otherwise(value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scenes, timelines  # noqa: F401  they register themselves
+from . import catalogue, policies, scenes, timelines  # noqa: F401  they register themselves
 from .base import QUERIES, SQL
 
 

@@ -94,14 +94,20 @@ def membership_two_hop(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_custkey AS parent, o_custkey * 2 + o_orderkey % 3 AS child, min(o_orderkey % 97 + 1) AS off
-  FROM orders WHERE o_custkey > 0 GROUP BY ALL), reach(node, start) AS (SELECT c_custkey, c_custkey * 10 FROM customer WHERE c_custkey BETWEEN 1 AND 3
-  UNION SELECT child, start + off FROM reach JOIN e ON node = parent) SELECT node, min(start) AS start FROM reach GROUP BY node""")
+  FROM orders WHERE o_custkey > 0 GROUP BY ALL),
+reach(node, start) AS (SELECT c_custkey, c_custkey * 10 FROM customer WHERE c_custkey NOT IN (SELECT child FROM e)
+  UNION SELECT child, start + off FROM reach JOIN e ON node = parent), best AS (SELECT node, min(start) AS start FROM reach GROUP BY node)
+SELECT c_custkey, coalesce(start, c_custkey * 10) AS start, start IS NOT NULL AS reached FROM customer LEFT JOIN best ON node = c_custkey""")
 def min_start_propagation(spark, sf_dir):
+    """Customers as objects that orders nest in each other; those that no other one holds are at the top."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey"), (F.col("c_custkey") * 10).alias("own"))
     edges = table(spark, sf_dir, "orders").filter("o_custkey > 0").select(
         F.col("o_custkey").alias("parent"), (F.col("o_custkey") * 2 + F.col("o_orderkey") % 3).alias("child"), (F.col("o_orderkey") % 97 + 1).alias("offset")
     ).groupBy("parent", "child").agg(F.min("offset").alias("offset"))
-    roots = table(spark, sf_dir, "customer").filter("c_custkey BETWEEN 1 AND 3")
-    return lookups.least_start(edges, roots.select(F.col("c_custkey").alias("node"), (F.col("c_custkey") * 10).alias("start")))
+    top = customer.join(edges.select(F.col("child").alias("c_custkey")), "c_custkey", "left_anti")
+    best = lookups.least_start(edges, top.select(F.col("c_custkey").alias("node"), F.col("own").alias("start")))
+    out = customer.join(best.withColumnRenamed("node", "c_custkey"), "c_custkey", "left")
+    return out.select("c_custkey", F.coalesce("start", "own").alias("start"), F.col("start").isNotNull().alias("reached"))
 
 
 @query("""WITH chain AS (SELECT o_orderkey, 'customer' AS via, n_name FROM orders JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'
@@ -115,8 +121,8 @@ def fallback_chain(spark, sf_dir):
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", F.lit("customer").alias("via"), "n_name")
     )
     alt = (
-        table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
-        .join(table(spark, sf_dir, "supplier"), "s_suppkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+        .join(chain, "o_orderkey", "left_anti").distinct().join(table(spark, sf_dir, "supplier"), "s_suppkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", F.lit("supplier").alias("via"), "n_name").distinct()
     )
     return lookups.with_fallback(chain, ["o_orderkey"], alt)

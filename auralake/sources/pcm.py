@@ -156,6 +156,7 @@ class _Reader(DataSourceReader):
         scene = os.path.splitext(os.path.basename(partition.path))[0]
         for lo in range(partition.lo, partition.hi, self.block):
             hi = min(lo + self.block, partition.hi)
+            lo = max(lo, self.lo)  # the first block may begin inside the grid of blocks
             x = read_frames(partition.path, at, lo, hi)
             cols = [[scene], [lo // self.block], [lo], [hi - lo], [at.channels], [at.rate], [x]]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float32())]

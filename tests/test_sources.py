@@ -8,17 +8,21 @@ from auralake.sources import pcm, policy, registry
 
 
 def doc(**rules):
-    return json.dumps({"schema": policy.SCHEMA_ID, **rules})
+    return json.dumps({"schema": f"anyone.{policy.SCHEMA}", **rules})
 
 
 def test_policy_is_strict(spark):
-    text = doc(**{"global": {"gain": {"gain_db": -3}}, "objects": [{"match": {"name_glob": "k*", "importance_min": 2}, "diffuse": {"enabled": False}}]})
+    text = doc(**{"global": {"gain": {"gain_db": -3}}, "objects": [{"name_glob": "k*", "importance_min": 2, "diffuse": {"enabled": False}}]})
     rows = policy.rules_table(spark, text).collect()
     assert [(r["rule_ord"], r["gain_gain_db"], r["name_glob"], r["diffuse_enabled"]) for r in rows] == [(-1, -3.0, None, None), (0, None, "k*", False)]
+    nested = doc(objects=[{"all": True, "position": {"offset": {"azimuth": 10}}, "direct_speakers": {"lfe": True, "gain": {"mute": True}}}])
+    (row,) = policy.rules_table(spark, nested).collect()
+    assert (row["position_offset_azimuth"], row["direct_speakers_lfe"], row["direct_speakers_gain_mute"]) == (10.0, True, True)
     for bad in (
-        "{", "[]", doc(extra=1), json.dumps({"schema": "x"}), doc(objects=[{"gain": {}}]), doc(objects=[{"match": {"nme": "x"}}]),
-        doc(objects=[{"match": {"all": True}, "gain": {"scale": "1"}}]), doc(objects=[{"match": {"all": 1}}]), doc(objects={}),
-        doc(objects=[{"match": {"dialogue_id": 1.5}}]), '{"schema": "%s", "global": {"gain": {"scale": NaN}}}' % policy.SCHEMA_ID,
+        "{", "[]", doc(extra=1), json.dumps({"schema": "x"}), json.dumps({}), doc(objects=[{"gain": {}}]), doc(objects=[{"nme": "x"}]), doc(objects=[{"id": ""}]),
+        doc(objects=[{"all": True, "gain": {"scale": "1"}}]), doc(objects=[{"all": 1}]), doc(objects={}), doc(objects=[{"all": True, "gain": {"scale": -1}}]),
+        doc(objects=[{"dialogue_id": 1.5}]), doc(objects=[{"all": True, "position": {"offset": 3}}]), doc(**{"global": {"all": True}}),
+        '{"schema": "a.%s", "global": {"gain": {"scale": NaN}}}' % policy.SCHEMA,
     ):
         with pytest.raises(policy.PolicyError):
             policy.parse(bad)
@@ -52,6 +56,10 @@ def test_wave_round_trip(spark, tmp_path, bits, encoding, tol):
     assert np.concatenate([r["samples"] for r in got]) == pytest.approx(x.reshape(-1), abs=tol + 1e-9)
     part = spark.read.format("pcm").option("block_frames", 1000).option("start_frame", 4000).option("end_frame", 6000).load(str(tmp_path / "out"))
     assert sorted(r["start_frame"] for r in part.collect()) == [4000, 5000]
+    inside = spark.read.format("pcm").option("block_frames", 1000).option("start_frame", 4321).option("end_frame", 6123).load(str(tmp_path / "out"))
+    rows = inside.orderBy("start_frame").collect()
+    assert [(r["start_frame"], r["frames"]) for r in rows] == [(4321, 679), (5000, 1000), (6000, 123)]
+    assert np.concatenate([r["samples"] for r in rows]) == pytest.approx(x[4321:6123].reshape(-1), abs=tol + 1e-9)
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["sc.wav"]
 
 
