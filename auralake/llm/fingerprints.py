@@ -20,9 +20,10 @@ A fingerprint is the text's first sketch, written out. The likeness of two
 texts is the share of digests that both have among those that one has.
 
 Defined cases: a null text is empty; two empty texts are alike (1); a null
-doc_id comes first, as the smallest number (which is read as null); rows that share a doc_id count as
-one document with the greatest of their texts; an empty table gives no rows;
-other columns of the input are ignored.
+doc_id comes first, as the smallest number (which is read as null); of rows that
+share a doc_id the next one is that with the next smaller hash of its text, and
+wholly equal rows have the same next one; each row of the table has a row of its
+own; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -154,8 +155,13 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     text) and ``other`` (of the next document)."""
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     following, n = neighbours(docs, "id")
-    if n != docs.count():
-        docs = docs.groupBy("id").agg(F.max("text").alias("text"))
+    if repeated := n != docs.count():
+        digest = F.md5(F.col("text").cast("binary")).alias("h")
+        docs = docs.groupBy("id", digest).agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        docs = docs.select(F.struct("id", "h").alias("id"), "text", "copies")
+        following, _ = neighbours(docs, "id")
+    number = F.col("id.id") if repeated else F.col("id")
+    copies = [F.expr("explode(sequence(1, int(copies)))").alias("_copy")] if repeated else []
     half = docs.select("id", F.floor(F.char_length("text") / 2).cast("int").alias("half"))
     asks = half.join(following, "id").select(F.col("id").alias("asker"), "half", "next_key")
     heads = docs.join(asks, F.col("id") == F.col("next_key")).select(
@@ -163,8 +169,8 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     )
     # both joins shuffle (id, text) by id, so that is done once
     joined = docs.join(heads, F.col("id") == F.col("asker")).select(
-        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "other", F.expr("concat(substring(text, 1, char_length(text) - half), head)").alias("edited")
-    )
+        F.nullif(number, F.lit(NO_ID)).alias("doc_id"), "text", "other", *copies, F.expr("concat(substring(text, 1, char_length(text) - half), head)").alias("edited")
+    ).drop("_copy")
     return joined.withColumns({"own": F.expr(digests("text")), "new": F.expr(digests("edited"))})
 
 

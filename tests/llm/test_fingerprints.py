@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from auralake.llm.fingerprints import digests, edited_documents, likeness, recovered, sketch, written
+from auralake.llm.fingerprints import digests, edited_documents, likeness, op4_document_fingerprints, recovered, sketch, written
 
 
 def paragraphs(text):
@@ -56,9 +56,34 @@ def test_recovered_digests_are_the_difference(spark):
 
 def test_repeated_ids_nulls_and_empty_table(spark, make_docs):
     docs = make_docs(["a\nb", "c"])
-    assert edited_documents(docs.union(docs)).count() == 2
-    odd = spark.createDataFrame([(None, "x"), (5, None), (5, "yy")], "doc_id long, text string")
-    got = {r["doc_id"]: r["edited"] for r in edited_documents(odd).collect()}
-    assert got == {None: "x", 5: "yx"}
+    twice = edited_documents(docs.union(docs)).collect()
+    assert sorted((r["doc_id"], r["edited"]) for r in twice) == [(0, "a\nc"), (0, "a\nc"), (1, "c"), (1, "c")]
+    odd = spark.createDataFrame([(None, "x"), (5, None), (5, "yy"), (5, "zzzz"), (None, "vw"), (5, "yy")], "doc_id long, text string")
+    got = edited_documents(odd).collect()
+    assert sorted(r["text"] for r in got) == ["", "vw", "x", "yy", "yy", "zzzz"] and [r["doc_id"] for r in got].count(None) == 2
+    # in order of doc_id and hash, each takes the first half of the next one below it
+    order = sorted(((r["doc_id"] is not None, hashlib.md5(r["text"].encode()).hexdigest()), r["text"]) for r in got)
+    below = {t: order[k - 1][1] for k, (_, t) in enumerate(order) if k == 0 or order[k - 1][1] != t}
+    for r in got:
+        half = len(r["text"]) // 2
+        assert r["edited"] == r["text"][: len(r["text"]) - half] + below[r["text"]][:half]
     assert edited_documents(docs.filter("doc_id = 0")).head()["edited"] == "a\na"
     assert edited_documents(docs.limit(0)).count() == 0
+
+
+def test_the_querys_own_path_and_a_long_text(spark, make_docs, tmp_path):
+    rows = [*texts(), "\n".join(f"line {k}" for k in range(12_000)), "\n".join(f"line {k}" for k in range(3, 12_100)), texts()[6]]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op4_document_fingerprints(spark, str(tmp_path)).collect()}
+    text = [t or "" for t in rows]
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for k, t in enumerate(text):
+        following = text[k - 1] if k else text[-1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        r = got[k]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(jaccard(paragraphs(t), paragraphs(edited)))
+        assert r["near_next"] == pytest.approx(jaccard(paragraphs(t), paragraphs(following)))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (paragraphs(t) == paragraphs(edited))
+    assert got[6]["fingerprint"] == got[len(rows) - 1]["fingerprint"]
