@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auralake.llm.language_id import fold
-from auralake.llm.toxicity import Chains, fit, learned, lines_of, score_documents, score_texts
+from auralake.llm.toxicity import Chains, document_features, fit, learned, lines_of, score_documents, score_texts, train
 
 BAD = ["grobian", "lumpazi", "schuftig", "schuftel"]
 
@@ -75,3 +76,54 @@ def test_scores_do_not_depend_on_the_batch():
     texts = [t for t, _ in corpus(50, seed=9)]
     together = [x["score"] for x in score_texts(texts, model)]
     assert together == pytest.approx([score_texts([t], model)[0]["score"] for t in texts])
+
+
+def brute_marginals(words, model):
+    """Probability of T of each word of a line, over all tag sequences."""
+    emit, total, p = [model.emission(w) for w in words], 0.0, [0.0] * len(words)
+    for tags in itertools.product((0, 1), repeat=len(words)):
+        weight = math.exp(sum(e for e, t in zip(emit, tags) if t) + sum(model.links[a, b] for a, b in zip(tags, tags[1:])))
+        total += weight
+        for k, t in enumerate(tags):
+            p[k] += weight * t
+    return [x / total for x in p]
+
+
+def test_scores_spans_and_predictions_against_brute_force(spark, make_docs):
+    model = fit(corpus(), 0.2)
+    r = random.Random(3)
+    words = ["aax", "bby", "grobian", "lumpazi", "schuftel", "schuft", "grob", "Ünlü", "cc"]
+    texts = ["\n".join(" ".join(r.choice(words) for _ in range(r.randrange(0, 8))) for _ in range(r.randrange(1, 4))) for _ in range(40)]
+    rows = score_documents(make_docs(texts), model).collect()
+    seen = set()
+    for row in rows:
+        text, got = texts[row["doc_id"]], row["toxicity"]
+        lines = lines_of(text)
+        p = [x for line in lines for x in brute_marginals(line, model)]
+        features = document_features(np.array([sum(p)]), np.array([len(p)]))
+        score = float(1 / (1 + np.exp(-(features @ model.scorer))[0]))
+        assert got["score"] == pytest.approx(score, abs=1e-6) and got["expected"] == pytest.approx(sum(p), abs=1e-6)
+        assert got["predicted"] == int(score >= 0.5)
+        flagged = [w.decode() for w, x in zip([w for line in lines for w in line], p) if x >= 0.5]
+        found = [w for s in got["spans"] for w in text[s["start"] : s["end"]].lower().split()]
+        assert found == flagged
+        seen.add(got["predicted"])
+    assert seen == {0, 1}
+
+
+def test_labels_and_rows_that_repeat(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t, y) for k, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = train(docs)  # null and shared ids are told apart by their texts
+    own = train(spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int"))
+    held = [t for t, _ in corpus(40, seed=5)]
+    assert [x["predicted"] for x in score_texts(held, model)] == [x["predicted"] for x in score_texts(held, own)]
+    same = spark.createDataFrame([(1, "grobian here", 1)] * 400 + [(2, "aax here", 0)] * 400, "doc_id long, text string, toxic int")
+    few = train(same, sample=(3, 3))  # repeated rows count once, and the shares stay true
+    assert few.prior == 0.5 and all(0 <= x["score"] <= 1 for x in score_texts(["grobian here", "aax here"], few))
+    both = spark.createDataFrame([(1, "grobian", 1), (1, "grobian", 0)], "doc_id long, text string, toxic int")
+    assert 0 <= score_texts(["grobian"], train(both))[0]["score"] <= 1
+    twice = score_documents(docs.limit(5).union(docs.limit(5)), model)
+    assert twice.count() == 10
+    tight = train(docs, sample_bytes=1)  # not one text fits: nothing is learned, every score is the share of toxic ones
+    assert score_texts(["grobian"], tight)[0]["score"] == pytest.approx(sum(y for _, y in rows) / len(rows))
