@@ -90,6 +90,15 @@ def extent_disk() -> list[tuple[float, float, float]]:
     return ring(8, 1.0, 2 / 3) + ring(8, 0.5, 1 / 3)
 
 
+def extent_places(radii: Column) -> Column:
+    """``k, x, y, weight`` of the places that stand for a source: those of the
+    disk, or its centre alone if it has no extent to speak of."""
+    place = lambda k, x, y, w: F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w"))
+    disk = F.array(*(place(k, x, y, w) for k, (x, y, w) in enumerate(extent_disk())))
+    point = (radii["width"] <= 1e-4) & (radii["height"] <= 1e-4)
+    return F.when(point, F.array(place(0, 0.0, 0.0, 1.0))).otherwise(disk)
+
+
 def extent_direction(az: Column, el: Column, radii: Column, x: Column, y: Column) -> Column:
     """Direction of a place of the disk around a source: ``azimuth, elevation``."""
     c = unit_vector(az, el)

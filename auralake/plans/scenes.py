@@ -303,8 +303,7 @@ o AS (SELECT c_custkey, k, w, cx + hx * h - cz * hy * v AS x, cy + hy * h + cz *
 SELECT c_custkey, k, round(w, 6) AS weight, round(degrees(atan2(-x, y)), 3) AS azimuth, round(degrees(atan2(z, sqrt(x * x + y * y))), 3) AS elevation FROM o""")
 def extent_cloud(spark, sf_dir):
     radii = geometry.extent_radii((F.col("c_custkey") % 5 + 1) / 10.0, (F.col("c_custkey") % 3 + 1) / 10.0, F.lit(0.0), F.abs("bal") / 2000)
-    disk = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w")) for k, (x, y, w) in enumerate(geometry.extent_disk())))
-    out = _directions(spark, sf_dir).withColumn("r", radii).withColumn("p", F.explode(disk))
+    out = _directions(spark, sf_dir).withColumn("r", radii).withColumn("p", F.explode(geometry.extent_places(F.col("r"))))
     out = out.withColumn("d", geometry.extent_direction(F.col("az"), F.col("el"), F.col("r"), F.col("p.x"), F.col("p.y")))
     return out.select("c_custkey", "p.k", F.round("p.w", 6).alias("weight"), F.round("d.azimuth", 3).alias("azimuth"), F.round("d.elevation", 3).alias("elevation"))
 
