@@ -106,27 +106,93 @@ def biquad(x: np.ndarray, c: np.ndarray, state: tuple[float, float] = (0.0, 0.0)
     return out, (s1, s2)
 
 
-def k_weighted_energy(signal: DataFrame, keys: list[str], order: str, value: str, rate: float, hop: int) -> DataFrame:
+def in_series(filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Biquads one after the other as one linear system: a state of two numbers
+    each, how it goes on, what a sample adds to it, and the output of both."""
+    a, b, c, d = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
+    for b0, b1, b2, a1, a2 in (f.tolist() for f in filters):
+        own, add = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        a = np.block([[a, np.zeros((len(a), 2))], [np.outer(add, c), own]])
+        b, c, d = np.concatenate([b, add * d]), np.concatenate([c * b0, [1.0, 0.0]]), d * b0
+    return a, b, c, d
+
+
+def run_system(system, x: np.ndarray, state: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Output of a system along a signal, and its state after it.
+
+    Pieces of ``width`` samples are filtered side by side from a state of zero;
+    then each piece's true state is carried on and its response added."""
+    a, b, c, d = system
+    rows = len(x) // width
+    whole = x[: rows * width].reshape(rows, width)
+    inner, y = np.zeros((rows, len(b))), np.empty((rows, width))
+    for t in range(width if rows else 0):
+        y[:, t] = inner @ c + d * whole[:, t]
+        inner = inner @ a.T + whole[:, t : t + 1] * b
+    over, starts = np.linalg.matrix_power(a, width), np.empty((rows, len(b)))
+    for k in range(rows):
+        starts[k], state = state, over @ state + inner[k]
+    powers = [c]
+    for _ in range(width - 1):
+        powers.append(powers[-1] @ a)
+    y += starts @ np.array(powers).T
+    rest = []
+    for v in x[rows * width :].tolist():
+        rest.append(float(c @ state + d * v))
+        state = a @ state + b * v
+    return np.concatenate([y.reshape(-1), rest]), state
+
+
+def k_weighted_energy(signal: DataFrame, keys: list[str], order: str, value: str, rate: float, hop: int, bucket: int) -> DataFrame:
     """Sum of squared K-weighted samples of each hop: ``keys, hop, e, n``.
 
-    The filters are recursive, so a channel is filtered in order in one task;
-    the channels are what is dealt to tasks.
+    The filters are recursive but linear: blocks of ``bucket`` (in units of
+    ``order``) are filtered from a state of zero, the state at each block's start
+    follows from one small row a block, and each block is then filtered from
+    there. So no task holds more samples than a block; what is ordered in one
+    place is five numbers a block.
     """
-    shelf, high = k_weighting(rate)
+    system = in_series(list(k_weighting(rate)))
     kinds = {f.name: f.dataType.simpleString() for f in signal.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", hop long, e double, n long"
+    keyed = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    at = F.floor(F.col(order) / bucket).alias("_block")
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
+    blocks = signal.groupBy(*keys, at).agg(F.transform(sorted_, lambda p: p["v"]).alias("_x"))
+
+    @F.pandas_udf("array<double>")
+    def ends(x: pd.Series) -> pd.Series:
+        return pd.Series([run_system(system, np.asarray(v, np.float64), np.zeros(4))[1] for v in x])
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        state, before, starts, places = np.zeros(4), 0, [], []
+        for n, end in zip(pdf["_n"], pdf["_end"]):
+            starts.append(state)
+            places.append(before)
+            state, before = np.linalg.matrix_power(system[0], int(n)) @ state + np.asarray(end), before + int(n)
+        return pdf[[*keys, "_block"]].assign(_start=starts, _at=places)
+
+    small = blocks.select(*keys, "_block", F.size("_x").alias("_n"), ends("_x").alias("_end"))
+    begun = small.groupBy(*keys).applyInPandas(carried, f"{keyed}, _block long, _start array<double>, _at long")
+
+    @F.pandas_udf("array<struct<hop: long, e: double, n: long>>")
+    def energies(x: pd.Series, start: pd.Series, first: pd.Series) -> pd.Series:
+        out = []
+        for v, s, k in zip(x, start, first):
+            y, _ = run_system(system, np.asarray(v, np.float64), np.asarray(s, np.float64))
+            hops = (int(k) + np.arange(len(y))) // hop
+            base = int(hops[0])
+            e, n = np.bincount(hops - base, y * y), np.bincount(hops - base)
+            out.append([{"hop": base + i, "e": float(e[i]), "n": int(n[i])} for i in range(len(e))])
+        return pd.Series(out)
+
+    parts = blocks.join(begun, [*keys, "_block"]).select(*keys, F.explode(energies("_x", "_start", "_at")).alias("p"))
+    return parts.groupBy(*keys, F.col("p.hop").alias("hop")).agg(F.sum("p.e").alias("e"), F.sum("p.n").alias("n"))
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        x, _ = biquad(pdf[value].to_numpy(np.float64), shelf)
-        x, _ = biquad(x, high)
-        at = np.arange(len(x)) // hop
-        out = pdf.iloc[: int(at[-1]) + 1][keys].reset_index(drop=True)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out.assign(hop=np.arange(int(at[-1]) + 1), e=np.bincount(at, x * x), n=np.bincount(at))
 
-    return signal.groupBy(*keys).applyInPandas(run, schema)
+def last_of(values: str, n: int) -> Column:
+    """The last ``n`` values of an array, or all of a shorter one."""
+    return F.slice(values, F.least(-F.least(F.size(values), F.lit(n)), F.lit(-1)), n)
 
 
 def overlap_add(blocks: DataFrame, keys: list[str], order: str, samples: str, kernel: list[float]) -> DataFrame:
@@ -134,12 +200,14 @@ def overlap_add(blocks: DataFrame, keys: list[str], order: str, samples: str, ke
     before it as a halo, so any block is filtered alone.
 
     The halo is the last ``taps - 1`` samples; it may come from several blocks
-    before if they are short.
+    before if they are short, of which no more is handed on than that many.
     """
     taps = np.array(kernel, np.float64)
     halo = len(kernel) - 1
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-max(1, halo), -1)
-    tail = F.flatten(F.collect_list(samples).over(w))
+    least = max(1, blocks.agg(F.min(F.size(samples))).head()[0] or 1)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-max(1, -(-halo // least)), -1)
+    end = last_of(samples, max(1, halo))
+    tail = F.flatten(F.collect_list(end).over(w))
     with_halo = blocks.withColumn("_halo", F.slice(tail, F.greatest(F.size(tail) - halo + 1, F.lit(1)), F.lit(max(1, halo))))
     x_at, h_at = with_halo.columns.index(samples), with_halo.columns.index("_halo")
 
@@ -179,7 +247,7 @@ def true_peaks(blocks: DataFrame, keys: list[str], order: str, samples: str, fac
     samples of each block at most, are handed on. What is grouped is a number a block.
     """
     edge = blocks.select(
-        *keys, order, F.slice(samples, -F.least(F.size(samples), F.lit(half)), half).alias("_end"), F.slice(samples, 1, half).alias("_begin"), samples
+        *keys, order, last_of(samples, half).alias("_end"), F.slice(samples, 1, half).alias("_begin"), samples
     )
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.flatten(F.collect_list("_end").over(w.rowsBetween(-half, -1)))

@@ -176,7 +176,7 @@ def union_blocks(spark, sf_dir):
 def kweight_loudness(spark, sf_dir):
     """Gated loudness of each user's values as a signal of 50 samples a second, 20 in a hop."""
     signal = block_events(spark, sf_dir).select("user_id", "s", (F.col("value") / 1000).alias("x"))
-    hops = metering.k_weighted_energy(signal, ["user_id"], "s", "x", 4000.0, 20)
+    hops = metering.k_weighted_energy(signal, ["user_id"], "s", "x", 4000.0, 20, 24 * HOUR)
     windows = metering.hopped(hops, ["user_id"], "hop", F.col("e") / F.col("n"), 4, 1)
     return metering.integrated_loudness(windows, ["user_id"]).select("user_id", F.round("lufs", 3).alias("lufs"), "windows")
 

@@ -88,3 +88,26 @@ def test_an_extent_of_nothing_has_one_direction(spark):
     radii = geometry.extent_radii(F.col("w"), F.col("h"), F.lit(0.0), F.lit(1.0))
     got = [r["n"] for r in df.select(F.size(geometry.extent_places(radii)).alias("n")).collect()]
     assert got == [1, 16]
+
+
+def test_k_weighting_by_blocks_is_that_of_the_whole_signal(spark):
+    x = np.random.default_rng(7).normal(size=1000)
+    y = x
+    for c in metering.k_weighting(8000.0):
+        y, _ = metering.biquad(y, c)
+    want = np.add.reduceat(y * y, range(0, 1000, 30))
+    rows = [(ch, 10 * k, float(v)) for ch in "ab" for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ch string, t long, x double").repartition(4)
+    for bucket in (20, 770, 10_000_000):
+        got = metering.k_weighted_energy(df, ["ch"], "t", "x", 8000.0, 30, bucket).orderBy("ch", "hop").collect()
+        assert [r["e"] for r in got] == pytest.approx([*want, *want], rel=1e-9)
+        assert [r["n"] for r in got] == [*[30] * 33, 10] * 2
+
+
+def test_overlap_add_with_empty_and_short_blocks(spark):
+    x, kernel = np.random.default_rng(1).normal(size=90), np.random.default_rng(2).normal(size=12).tolist()
+    want = np.convolve(x, kernel)[:90]
+    cuts = [0, 1, 1, 3, 40, 41, 90]
+    rows = [("a", k, x[lo:hi].tolist()) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
+    out = metering.overlap_add(spark.createDataFrame(rows, "ch string, n int, s array<double>"), ["ch"], "n", "s", kernel)
+    assert np.concatenate([r["s"] for r in out.orderBy("n").collect()]) == pytest.approx(want, abs=1e-9)
