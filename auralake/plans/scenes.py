@@ -178,7 +178,7 @@ def _directions(spark, sf_dir):
 DIRECTIONS = "d AS (SELECT c_custkey, c_custkey * 7 % 360 - 179.5 AS az, c_acctbal % 90 AS el, c_acctbal AS bal FROM customer)"
 SPEAKERS = "spk(k, label, saz, sel) AS (VALUES " + ", ".join(
     f"({k}, '{s[0]}', CAST({s[1]} AS DOUBLE), CAST({s[2]} AS DOUBLE))"
-    for k, s in enumerate(x.split() for x in registry.LAYOUTS[("4+5+0", "5.1.4")].split(",")) if not s[0].startswith("LFE")
+    for k, s in enumerate(registry.LAYOUTS[("4+5+0", "5.1.4")]) if not s[0].startswith("LFE")
 ) + ")"
 _WRAP = "(180.0 - (({x}) - floor(({x}) / 360.0) * 360.0))"
 

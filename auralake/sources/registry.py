@@ -12,56 +12,90 @@ from pyspark.sql import functions as F
 
 # Layouts, their speakers in channel order (label, azimuth, elevation).
 LAYOUTS = {
-    ("0+2+0", "Stereo"): "M+030 30 0, M-030 -30 0",
-    ("0+5+0", "5.1"): "M+030 30 0, M-030 -30 0, M+000 0 0, LFE1 45 -30, M+110 110 0, M-110 -110 0",
-    ("2+5+0", "5.1.2"): "M+030 30 0, M-030 -30 0, M+000 0 0, LFE1 45 -30, M+110 110 0, M-110 -110 0, U+030 30 30, U-030 -30 30",
-    ("4+5+0", "5.1.4"): "M+030 30 0, M-030 -30 0, M+000 0 0, LFE1 45 -30, M+110 110 0, M-110 -110 0,"
-    " U+030 30 30, U-030 -30 30, U+110 110 30, U-110 -110 30",
-    ("wav71", "7.1"): "M+030 30 0, M-030 -30 0, M+000 0 0, LFE1 45 -30, M+135 135 0, M-135 -135 0, M+090 90 0, M-090 -90 0",
-    ("4+7+0", "7.1.4"): "M+030 30 0, M-030 -30 0, M+000 0 0, LFE1 45 -30, M+090 90 0, M-090 -90 0, M+135 135 0, M-135 -135 0,"
-    " U+045 45 30, U-045 -45 30, U+135 135 30, U-135 -135 30",
-    ("4+5+4", "9.1.4"): "M+030 30 0, M-030 -30 0, M+000 0 0, LFE1 45 -30, M+110 110 0, M-110 -110 0, M+150 150 0, M-150 -150 0,"
-    " M+070 70 0, M-070 -70 0, U+070 70 45, U-070 -70 45, U+150 150 45, U-150 -150 45",
-    ("9.1.6", "9.1.6 (Dolby Atmos)"): "M+030 30 0, M-030 -30 0, M+000 0 0, LFE1 45 -30, M+110 110 0, M-110 -110 0,"
-    " M+150 150 0, M-150 -150 0, M+070 70 0, M-070 -70 0, U+070 70 45, U-070 -70 45, U+110 110 45, U-110 -110 45,"
-    " U+150 150 45, U-150 -150 45",
-    ("9+10+3", "22.2"): "M+060 60 0, M-060 -60 0, M+000 0 0, LFE1 45 -30, M+135 135 0, M-135 -135 0, M+030 30 0, M-030 -30 0,"
-    " M+180 180 0, LFE2 -45 -30, M+090 90 0, M-090 -90 0, U+045 45 30, U-045 -45 30, U+000 0 30, T+000 0 90,"
-    " U+135 135 30, U-135 -135 30, U+090 90 30, U-090 -90 30, U+180 180 30, B+000 0 -30, B+045 45 -30, B-045 -45 -30",
-}
+    ("0+2+0", "Stereo"): [
+        ("M+030", 30, 0), ("M-030", -30, 0),
+    ],
+    ("0+5+0", "5.1"): [
+        ("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+110", 110, 0), ("M-110", -110, 0),
+    ],
+    ("2+5+0", "5.1.2"): [
+        ("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+110", 110, 0), ("M-110", -110, 0), ("U+030", 30, 30),
+        ("U-030", -30, 30),
+    ],
+    ("4+5+0", "5.1.4"): [
+        ("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+110", 110, 0), ("M-110", -110, 0), ("U+030", 30, 30),
+        ("U-030", -30, 30), ("U+110", 110, 30), ("U-110", -110, 30),
+    ],
+    ("wav71", "7.1"): [
+        ("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+135", 135, 0), ("M-135", -135, 0), ("M+090", 90, 0),
+        ("M-090", -90, 0),
+    ],
+    ("4+7+0", "7.1.4"): [
+        ("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+090", 90, 0), ("M-090", -90, 0), ("M+135", 135, 0),
+        ("M-135", -135, 0), ("U+045", 45, 30), ("U-045", -45, 30), ("U+135", 135, 30), ("U-135", -135, 30),
+    ],
+    ("4+5+4", "9.1.4"): [
+        ("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+110", 110, 0), ("M-110", -110, 0), ("M+150", 150, 0),
+        ("M-150", -150, 0), ("M+070", 70, 0), ("M-070", -70, 0), ("U+070", 70, 45), ("U-070", -70, 45), ("U+150", 150, 45), ("U-150", -150, 45),
+    ],
+    ("9.1.6", "9.1.6 (Dolby Atmos)"): [
+        ("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+110", 110, 0), ("M-110", -110, 0), ("M+150", 150, 0),
+        ("M-150", -150, 0), ("M+070", 70, 0), ("M-070", -70, 0), ("U+070", 70, 45), ("U-070", -70, 45), ("U+110", 110, 45), ("U-110", -110, 45),
+        ("U+150", 150, 45), ("U-150", -150, 45),
+    ],
+    ("9+10+3", "22.2"): [
+        ("M+060", 60, 0), ("M-060", -60, 0), ("M+000", 0, 0), ("LFE1", 45, -30), ("M+135", 135, 0), ("M-135", -135, 0), ("M+030", 30, 0),
+        ("M-030", -30, 0), ("M+180", 180, 0), ("LFE2", -45, -30), ("M+090", 90, 0), ("M-090", -90, 0), ("U+045", 45, 30), ("U-045", -45, 30),
+        ("U+000", 0, 30), ("T+000", 0, 90), ("U+135", 135, 30), ("U-135", -135, 30), ("U+090", 90, 30), ("U-090", -90, 30), ("U+180", 180, 30),
+        ("B+000", 0, -30), ("B+045", 45, -30), ("B-045", -45, -30),
+    ],
+}
 
 # Output layouts of each file format with their channels.
-OUTPUT_LAYOUTS = """
-wav binaural 2, wav 5.1 6, wav 5.1.2 8, wav 7.1 8, wav 5.1.4 10, wav 7.1.4 12, wav 9.1.4 14, wav 9.1.6 16, wav 22.2 24, wav hoa3 16,
-caf binaural 2, caf 5.1 6, caf 7.1 8, caf hoa3 16, caf 5.1.4 10, caf 7.1.4 12, caf 9.1.6 16, caf 22.2 24,
-flac binaural 2, flac 5.1 6, flac 7.1 8,
-apac binaural 2, apac 7.1 8, apac hoa3 16, apac 5.1.4 10, apac 7.1.4 12, apac 9.1.6 16, apac 22.2 24,
-iamf 5.1 6, iamf 5.1.2 8, iamf 5.1.4 10, iamf 7.1 8, iamf 7.1.4 12
-"""
+OUTPUT_LAYOUTS = [
+    ("wav", "binaural", 2), ("wav", "5.1", 6), ("wav", "5.1.2", 8), ("wav", "7.1", 8), ("wav", "5.1.4", 10), ("wav", "7.1.4", 12),
+    ("wav", "9.1.4", 14), ("wav", "9.1.6", 16), ("wav", "22.2", 24), ("wav", "hoa3", 16), ("caf", "binaural", 2), ("caf", "5.1", 6),
+    ("caf", "7.1", 8), ("caf", "hoa3", 16), ("caf", "5.1.4", 10), ("caf", "7.1.4", 12), ("caf", "9.1.6", 16), ("caf", "22.2", 24),
+    ("flac", "binaural", 2), ("flac", "5.1", 6), ("flac", "7.1", 8), ("apac", "binaural", 2), ("apac", "7.1", 8), ("apac", "hoa3", 16),
+    ("apac", "5.1.4", 10), ("apac", "7.1.4", 12), ("apac", "9.1.6", 16), ("apac", "22.2", 24), ("iamf", "5.1", 6), ("iamf", "5.1.2", 8),
+    ("iamf", "5.1.4", 10), ("iamf", "7.1", 8), ("iamf", "7.1.4", 12),
+]
 
 # Layout a name stands for (names are compared in lower case).
 LAYOUT_NAMES = {
-    "0+2+0": "0+2+0 stereo 2.0", "0+5+0": "0+5+0 5.1", "2+5+0": "2+5+0 5.1.2", "wav71": "wav71 7.1 wave_7_1 wave-7.1 0+7+0",
-    "4+5+0": "4+5+0 5.1.4 atmos514", "4+5+4": "4+5+4 9.1.4", "4+7+0": "4+7+0 7.1.4 atmos714", "9.1.6": "9.1.6 atmos916",
-    "9+10+3": "9+10+3 22.2", "binaural": "binaural", "hoa3": "hoa3",
+    "0+2+0": ["0+2+0", "stereo", "2.0"],
+    "0+5+0": ["0+5+0", "5.1"],
+    "2+5+0": ["2+5+0", "5.1.2"],
+    "wav71": ["wav71", "7.1", "wave_7_1", "wave-7.1", "0+7+0"],
+    "4+5+0": ["4+5+0", "5.1.4", "atmos514"],
+    "4+5+4": ["4+5+4", "9.1.4"],
+    "4+7+0": ["4+7+0", "7.1.4", "atmos714"],
+    "9.1.6": ["9.1.6", "atmos916"],
+    "9+10+3": ["9+10+3", "22.2"],
+    "binaural": ["binaural"],
+    "hoa3": ["hoa3"],
 }
 
 # Speaker that a loudspeaker label stands for (labels without signs, in upper case).
-LABEL_NAMES = """
-RCL M+030, RCR M-030, RCC M+000, RCLFE LFE1, RCLSS M+090, RCRSS M-090, RCLRS M+135, RCRRS M-135, RCLTS U+090, RCRTS U-090,
-L M+030, R M-030, C M+000, LFE LFE1, LFEL LFE1, LFER LFE2, LS M+090, RS M-090, LSS M+090, RSS M-090, LRS M+135, RRS M-135,
-LB M+135, RB M-135, LW M+060, RW M-060, CS M+180, VHL U+045, VHR U-045, VHC U+000, TSL U+090, TSR U-090, LTM U+090, RTM U-090
-"""
+LABEL_NAMES = [
+    ("RCL", "M+030"), ("RCR", "M-030"), ("RCC", "M+000"), ("RCLFE", "LFE1"), ("RCLSS", "M+090"), ("RCRSS", "M-090"), ("RCLRS", "M+135"),
+    ("RCRRS", "M-135"), ("RCLTS", "U+090"), ("RCRTS", "U-090"), ("L", "M+030"), ("R", "M-030"), ("C", "M+000"), ("LFE", "LFE1"), ("LFEL", "LFE1"),
+    ("LFER", "LFE2"), ("LS", "M+090"), ("RS", "M-090"), ("LSS", "M+090"), ("RSS", "M-090"), ("LRS", "M+135"), ("RRS", "M-135"), ("LB", "M+135"),
+    ("RB", "M-135"), ("LW", "M+060"), ("RW", "M-060"), ("CS", "M+180"), ("VHL", "U+045"), ("VHR", "U-045"), ("VHC", "U+000"), ("TSL", "U+090"),
+    ("TSR", "U-090"), ("LTM", "U+090"), ("RTM", "U-090"),
+]
 
 # Output target, format, container, encoding, format whose layouts it takes (- for any).
-TARGETS = """
-wav wav wav pcm wav, caf caf caf pcm caf, flac flac flac flac flac, opus_mka opus_mka mka opus -, apac_mpeg4 apac mpeg4 apac apac,
-apac_caf apac caf apac apac, iamf iamf iamf iamf_opus iamf, iamf_mp4 iamf_mp4 mp4 iamf_opus iamf
-"""
-
-
-def _rows(text: str) -> list[list[str]]:
-    return [x.split() for x in text.split(",")]
+TARGETS = [
+    ("wav", "wav", "wav", "pcm", "wav"),
+    ("caf", "caf", "caf", "pcm", "caf"),
+    ("flac", "flac", "flac", "flac", "flac"),
+    ("opus_mka", "opus_mka", "mka", "opus", "-"),
+    ("apac_mpeg4", "apac", "mpeg4", "apac", "apac"),
+    ("apac_caf", "apac", "caf", "apac", "apac"),
+    ("iamf", "iamf", "iamf", "iamf_opus", "iamf"),
+    ("iamf_mp4", "iamf_mp4", "mp4", "iamf_opus", "iamf"),
+]
 
 
 class Registry:
@@ -69,8 +103,8 @@ class Registry:
 
     def __init__(self):
         self.layouts = {
-            (i, name): [(k, label, float(az), float(el), label.startswith("LFE")) for k, (label, az, el) in enumerate(_rows(text))]
-            for (i, name), text in LAYOUTS.items()
+            (i, name): [(k, label, float(az), float(el), label.startswith("LFE")) for k, (label, az, el) in enumerate(speakers)]
+            for (i, name), speakers in LAYOUTS.items()
         }
 
     def register(self, layout_id: str, name: str, speakers: list[tuple[str, float, float, bool]]) -> None:
@@ -91,7 +125,7 @@ class Registry:
 
 
 def output_layouts(spark: SparkSession) -> DataFrame:
-    rows = [(k, f, n, int(c)) for k, (f, n, c) in enumerate(_rows(OUTPUT_LAYOUTS))]
+    rows = [(k, *row) for k, row in enumerate(OUTPUT_LAYOUTS)]
     return spark.createDataFrame(rows, "ord int, format string, layout string, channels int").withColumn("layout_id", layout_id(F.col("layout")))
 
 
@@ -99,17 +133,17 @@ def layout_id(name):
     """The id that a layout's name stands for; unknown names pass through."""
     out = name
     for i, names in LAYOUT_NAMES.items():
-        out = F.when(F.lower(name).isin(names.split()), F.lit(i)).otherwise(out)
+        out = F.when(F.lower(name).isin(names), F.lit(i)).otherwise(out)
     return F.when(name == "", F.lit("0+2+0")).otherwise(out)
 
 
 def label_names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(_rows(LABEL_NAMES))], "name string, label string, ord int")
+    return spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(LABEL_NAMES)], "name string, label string, ord int")
 
 
 def targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        [(k, *t) for k, t in enumerate(_rows(TARGETS))], "ord int, target string, format string, container string, encoding string, layouts_of string"
+        [(k, *t) for k, t in enumerate(TARGETS)], "ord int, target string, format string, container string, encoding string, layouts_of string"
     )
 
 
