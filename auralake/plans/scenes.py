@@ -147,13 +147,27 @@ def speaker_layouts(spark, sf_dir):
     return registry.layout_summary(registry.Registry().speakers(spark)).withColumns({"channels": F.col("channels").cast("int"), "lfe": F.col("lfe").cast("int")})
 
 
-@query()
+_RENDERERS = {"panner": ["0+5+0", "2+5+0", "wav71", "4+5+0", "4+7+0", "4+5+4", "9.1.6", "9+10+3"], "ambisonic": ["hoa3"], "binaural": ["binaural"]}
+_FORMATS = {"wav": (True, 0, True), "caf": (True, 0, True), "flac": (True, 8, False), "opus_mka": (True, 255, True),
+            "apac": (False, 0, True), "iamf": (False, 0, True), "iamf_mp4": (False, 0, True)}
+_values = lambda rows: ", ".join(f"({', '.join(map(repr, r))})" for r in rows)
+
+
+@query(f"""WITH own(renderer, layout_id) AS (VALUES {_values((r, i) for r, ids in _RENDERERS.items() for i in ids)}),
+kinds(format, available, most, height) AS (VALUES {_values((f, *v) for f, v in _FORMATS.items())}),
+rows(ord, format, layout, channels) AS (VALUES {_values((k, *r) for k, r in enumerate(registry.OUTPUT_LAYOUTS))}),
+names(name, layout_id) AS (VALUES {_values((n, i) for i, names in registry.LAYOUT_NAMES.items() for n in names)}),
+targets(target, format, container, encoding, layouts_of) AS (VALUES {_values(registry.TARGETS)}),
+l AS (SELECT layout, arg_min(coalesce(layout_id, layout), ord) AS layout_id, arg_min(channels, ord) AS channels,
+  regexp_matches(layout, '^[0-9]+\\.[0-9]+\\.[0-9]+$|^22\\.2$|^hoa') AS is_3d FROM rows LEFT JOIN names ON name = lower(layout) GROUP BY layout),
+e AS (SELECT r.renderer, l.*, t.target, t.format, CASE WHEN own.layout_id IS NULL THEN 'renderer' WHEN NOT available THEN 'format'
+  WHEN layouts_of <> '-' AND d.layout IS NULL THEN 'target' WHEN most > 0 AND l.channels > most THEN 'channels' WHEN NOT height AND is_3d THEN 'height' END AS reason
+  FROM (SELECT DISTINCT renderer FROM own) r CROSS JOIN l CROSS JOIN targets t JOIN kinds USING (format)
+  LEFT JOIN own ON own.renderer = r.renderer AND own.layout_id = l.layout_id LEFT JOIN rows d ON d.format = layouts_of AND d.layout = l.layout)
+SELECT renderer, layout, layout_id, channels, is_3d, target, format, reason IS NULL AS supported, reason FROM e""")
 def output_support(spark, sf_dir):
     """Renderers, layouts and targets of the registry."""
-    ids = ["0+5+0", "2+5+0", "wav71", "4+5+0", "4+7+0", "4+5+4", "9.1.6", "9+10+3"]
-    formats = {"wav": (True, 0, True), "caf": (True, 0, True), "flac": (True, 8, False), "opus_mka": (True, 255, True),
-               "apac": (False, 0, True), "iamf": (False, 0, True), "iamf_mp4": (False, 0, True)}
-    return registry.support_matrix(spark, {"panner": ids, "ambisonic": ["hoa3"], "binaural": ["binaural"]}, formats)
+    return registry.support_matrix(spark, _RENDERERS, _FORMATS)
 
 
 _ALIAS = {"small": "M+030", "red": "M-030", "blue": "M+000", "large": "U+045", "ring": "U+045", "bolt": "LFE1"}

@@ -181,14 +181,18 @@ def kweight_loudness(spark, sf_dir):
     return metering.integrated_loudness(windows, ["user_id"]).select("user_id", F.round("lufs", 3).alias("lufs"), "windows")
 
 
-@query()
+_LAGS = " + ".join(f"coalesce(lag(value, {k}) OVER w, 0)" for k in range(16))
+
+
+@query(f"""WITH {EV}, f AS (SELECT user_id, s, event_id, s // {24 * HOUR} AS day, ({_LAGS}) / 16 AS y FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
+SELECT user_id, day, list(round(y, 6) ORDER BY s, event_id) AS samples FROM f GROUP BY ALL""")
 def ola_fir(spark, sf_dir):
     """Each user's values, in blocks of a day, through a 16-tap kernel."""
     ev = block_events(spark, sf_dir).withColumn("day", F.floor(F.col("s") / (24 * HOUR)))
     blocks = ev.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("s", "event_id", "value"))).alias("b"))
     blocks = blocks.select("user_id", "day", F.transform("b", lambda x: x["value"]).alias("samples"))
     out = metering.overlap_add(blocks, ["user_id"], "day", "samples", [1 / 16] * 16)
-    return out.select("user_id", "day", F.transform("samples", lambda x: F.round(x, 4)).alias("samples"))
+    return out.select("user_id", "day", F.transform("samples", lambda x: F.round(x, 6) + F.lit(0.0)).alias("samples"))
 
 
 @query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS revision, arg_max(value, event_id) AS gain FROM events GROUP BY user_id""")
