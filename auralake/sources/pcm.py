@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
 import struct
 from dataclasses import dataclass
 
@@ -176,6 +177,18 @@ def header(rate: int, channels: int, bits: int, is_float: bool, data_bytes: int)
     return (b"BW64" if long_ else b"RIFF") + struct.pack("<I", size) + body
 
 
+def caf_header(rate: int, channels: int, bits: int, is_float: bool, data_bytes: int) -> bytes:
+    """A CAF header for little-endian floats, which are what is read; its sizes have 64 bits anyway."""
+    if (bits, is_float) != (32, True):
+        raise ValueError("CAF files are written as 32-bit floats")
+    desc = struct.pack(">d4sIIIII", rate, b"lpcm", 3, channels * bits // 8, 1, channels, bits)
+    return b"caff" + struct.pack(">HH", 1, 0) + b"desc" + struct.pack(">q", len(desc)) + desc + b"data" + struct.pack(">qI", data_bytes + 4, 0)
+
+
+#: containers that can be written: how a file begins
+HEADERS = {"wav": header, "caf": caf_header}
+
+
 def encoded(x: np.ndarray, bits: int, is_float: bool) -> bytes:
     if is_float:
         return x.astype("<f4").tobytes()
@@ -199,6 +212,10 @@ class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
         self.path, self.bits = options["path"], int(options.get("bits", 32))
         self.is_float = options.get("encoding", "float") == "float"
+        self.container = options.get("container", "wav")
+        if self.container not in HEADERS:
+            raise ValueError(f"no such container: {self.container}")
+        HEADERS[self.container](1, 1, self.bits, self.is_float, 0)  # says what it cannot hold before anything is written
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, rows):
@@ -221,14 +238,14 @@ class _Writer(DataSourceWriter):
         for scene, parts in scenes.items():
             parts.sort()
             _, _, _, rate, channels = parts[0]
-            whole = os.path.join(self.path, f".{scene}.wav.part")
+            whole = os.path.join(self.path, f".{scene}.{self.container}.part")
             with open(whole, "wb") as out:
-                out.write(header(rate, channels, self.bits, self.is_float, sum(p[2] for p in parts)))
+                out.write(HEADERS[self.container](rate, channels, self.bits, self.is_float, sum(p[2] for p in parts)))
                 for _, name, *_ in parts:
                     with open(name, "rb") as f:
-                        out.write(f.read())
+                        shutil.copyfileobj(f, out)
                     os.remove(name)
-            os.replace(whole, os.path.join(self.path, f"{scene}.wav"))
+            os.replace(whole, os.path.join(self.path, f"{scene}.{self.container}"))
 
     def abort(self, messages):
         for m in messages:

@@ -63,6 +63,17 @@ def test_wave_round_trip(spark, tmp_path, bits, encoding, tol):
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["sc.wav"]
 
 
+def test_caf_round_trip(spark, tmp_path):
+    pcm.register(spark)
+    x = (np.arange(3000) * 1e-4 - 0.1).astype(np.float32)
+    rows = [("sc", k, lo, 1000, 1, 44100, x[lo : lo + 1000].tolist()) for k, lo in enumerate(range(0, 3000, 1000))]
+    out = spark.createDataFrame(rows, pcm.PCM_BLOCKS).write.format("pcm").mode("append").option("container", "caf")
+    out.save(str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["sc.caf"]
+    got = spark.read.format("pcm").load(str(tmp_path)).orderBy("start_frame").collect()
+    assert np.concatenate([r["samples"] for r in got]) == pytest.approx(x) and got[0]["sample_rate"] == 44100
+
+
 def test_caf_and_metadata_chunks(spark, tmp_path):
     pcm.register(spark)
     x = np.arange(12, dtype="<f4")
