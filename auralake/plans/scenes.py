@@ -170,6 +170,19 @@ def output_support(spark, sf_dir):
     return registry.support_matrix(spark, _RENDERERS, _FORMATS)
 
 
+@query(f"""WITH own(k, renderer, layout_id) AS (VALUES {_values((k, r, i) for k, (r, ids) in enumerate(_RENDERERS.items()) for i in ids)}),
+rows(ord, format, layout, channels) AS (VALUES {_values((k, *r) for k, r in enumerate(registry.OUTPUT_LAYOUTS))}),
+names(name, layout_id) AS (VALUES {_values((n, i) for i, names in registry.LAYOUT_NAMES.items() for n in names)}),
+l AS (SELECT rows.*, coalesce(layout_id, layout) AS layout_id FROM rows LEFT JOIN names ON name = lower(layout)),
+s AS (SELECT l.ord, format, layout, channels, coalesce(string_agg(renderer, ',' ORDER BY k), '') AS supported_by FROM l LEFT JOIN own USING (layout_id) GROUP BY ALL)
+SELECT format, layout, channels, supported_by FROM s WHERE (format = 'wav' AND supported_by LIKE '%panner%') OR (format = 'apac' AND layout = 'hoa3') OR format = 'flac'""")
+def layout_query(spark, sf_dir):
+    """What can be asked of the registry: a format, a layout by any name, a renderer."""
+    rows = registry.layout_rows(spark, _RENDERERS)
+    found = registry.layouts_of(rows, "wav", renderer="panner").unionByName(registry.layouts_of(rows, "apac", "HOA3")).unionByName(registry.layouts_of(rows, "flac"))
+    return found.select("format", "layout", "channels", F.array_join("supported_by", ",").alias("supported_by"))
+
+
 _ALIAS = {"small": "M+030", "red": "M-030", "blue": "M+000", "large": "U+045", "ring": "U+045", "bolt": "LFE1"}
 
 

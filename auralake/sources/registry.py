@@ -129,6 +129,22 @@ def output_layouts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, format string, layout string, channels int").withColumn("layout_id", layout_id(F.col("layout")))
 
 
+def layout_rows(spark: SparkSession, renderers: dict[str, list[str]]) -> DataFrame:
+    """``output_layouts`` with ``supported_by``, the renderers of each in the order given."""
+    own = spark.createDataFrame([(k, r, i) for k, (r, ids) in enumerate(renderers.items()) for i in ids], "k int, renderer string, layout_id string")
+    names = own.groupBy("layout_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "renderer"))), lambda x: x["renderer"]).alias("supported_by"))
+    out = output_layouts(spark).join(F.broadcast(names), "layout_id", "left")
+    return out.withColumn("supported_by", F.coalesce("supported_by", F.array().cast("array<string>")))
+
+
+def layouts_of(rows: DataFrame, format_: str, layout: str | None = None, renderer: str | None = None) -> DataFrame:
+    """The rows of a format, and of a layout (by any of its names) and a renderer if they are given."""
+    out = rows.filter(F.col("format") == format_)
+    if layout is not None:
+        out = out.filter(F.col("layout_id") == layout_id(F.lit(layout)))
+    return out if renderer is None else out.filter(F.array_contains("supported_by", renderer))
+
+
 def layout_id(name):
     """The id that a layout's name stands for; unknown names pass through."""
     out = name
