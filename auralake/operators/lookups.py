@@ -29,6 +29,24 @@ def nearest(points: DataFrame, places: DataFrame, gap: Column, place: str, ord_:
     return with_gap.select(*points.columns, F.col("_best.place").alias(place), F.col("_best.gap").alias("gap"))
 
 
+def nearest_within(points: DataFrame, places: DataFrame, gap: Column, place: str, ord_: str, most: Column) -> DataFrame:
+    """As ``nearest``, of places that are no low-frequency ones (``is_lfe``), and
+    null where the nearest is farther than ``most`` (null: any distance) and a hair."""
+    found = nearest(points, places.filter("NOT is_lfe").drop("is_lfe"), gap, place, ord_)
+    return found.withColumn(place, F.when(most.isNull() | (F.col("gap") <= most + 1e-4), F.col(place)))
+
+
+def by_label(df: DataFrame, keys: list[str], label: str, known: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``keys, speaker``: a label's own speaker, else the first of its aliases
+    that is there. ``known``: ``label`` of each speaker; ``aliases``: ``name,
+    label, ord``. Both are registries of a few dozen rows."""
+    own = df.select(*keys, F.col(label).alias("name"))
+    exact = own.join(F.broadcast(known.select(F.col("label").alias("name"), F.col("label").alias("speaker"))), "name").withColumn("ord", F.lit(-1))
+    there = aliases.join(known.select("label"), "label", "left_semi").withColumnRenamed("label", "speaker")
+    other = own.join(F.broadcast(there), "name").select("name", *keys, "speaker", "ord")
+    return first_hit(exact.unionByName(other), keys, ["ord"], ["speaker"])
+
+
 def chained(start: DataFrame, hops: list[tuple[DataFrame, str]]) -> DataFrame:
     """Left joins one after another; a missing hop leaves null."""
     for df, key in hops:

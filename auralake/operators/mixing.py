@@ -88,3 +88,11 @@ def strongest_three(gains: Column, floor: float = 1e-7) -> Column:
     kept = F.slice(F.filter(gains, lambda g: g > floor), 1, 3)
     total = F.aggregate(kept, F.lit(0.0).cast("double"), lambda a, g: a + g)
     return F.when(total > 0, F.transform(kept, lambda g: g / total)).otherwise(kept)
+
+
+def lfe_apart(samples: DataFrame, keys: list[str], low: Column, value: Column) -> DataFrame:
+    """``keys, mix, peak``: low-frequency samples stay out of the mix, and are
+    metered on their own; the peak is the greater of both."""
+    mix, apart = F.sum(F.when(~low, value)), F.max(F.when(low, F.abs(value)))
+    out = samples.groupBy(*keys).agg(F.coalesce(mix, F.lit(0.0)).alias("mix"), apart.alias("_low"))
+    return out.withColumn("peak", F.greatest(F.abs("mix"), F.coalesce("_low", F.lit(0.0)))).drop("_low")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import harmonics, labels
+from ..functions import geometry, harmonics, labels
 from ..operators import lookups, metering, mixing, timeline
+from ..sources import registry
 from .base import EFF, EV, HOUR, block_events, query, table
+from .scenes import _CHORD, DIRECTIONS, SPEAKERS, _directions, _values
 from .timelines import _effective
 
 
@@ -220,3 +222,37 @@ def hoa_decode(spark, sf_dir):
     samples = table(spark, sf_dir, "orders").select("o_custkey", acn.cast("int").alias("in_ch"), harmonics.full_normalised(acn, value).alias("value"))
     matrix = spark.createDataFrame(_DECODE, "in_ch int, out_ch int, gain double")
     return mixing.mixed(samples, matrix, ["o_custkey"]).withColumn("mix", F.round("mix", 4))
+
+
+_NAMED = "['M+030', 'L', 'U+045', 'LFE', 'ZZ', 'CS', 'U+110', 'LSS'][CAST(p_partkey % 8 AS INT) + 1]"
+
+
+@query(f"""WITH known(label) AS (VALUES {_values((s[0],) for s in registry.LAYOUTS[("4+5+0", "5.1.4")]).replace(",)", ")")}),
+alias(name, label, ord) AS (VALUES {_values((a, b, k) for k, (a, b) in enumerate(registry.LABEL_NAMES))}),
+p AS (SELECT p_partkey, {_NAMED} AS name FROM part)
+SELECT p_partkey, coalesce(known.label, (SELECT arg_min(a.label, a.ord) FROM alias a WHERE a.name = p.name AND a.label IN (SELECT label FROM known))) AS speaker
+FROM p LEFT JOIN known ON known.label = name WHERE speaker IS NOT NULL""")
+def label_lookup(spark, sf_dir):
+    """A speaker by its own label before any alias."""
+    name = F.expr(_NAMED.replace("[CAST", "[CAST").replace("['", "array('").replace("'][", "')[").replace(" + 1]", "]"))
+    known = registry.Registry().speakers(spark).filter("layout_id = '4+5+0'")
+    return lookups.by_label(table(spark, sf_dir, "part").select("p_partkey", name.alias("name")), ["p_partkey"], "name", known, registry.label_names(spark))
+
+
+@query(f"""WITH {DIRECTIONS}, {SPEAKERS}, g AS (SELECT c_custkey, bal, k, label, {_CHORD} AS gap FROM d, spk),
+n AS (SELECT c_custkey, any_value(bal) AS bal, arg_min(label, struct_pack(gap := round(gap, 9), k := k)) AS label, min(gap) AS gap FROM g GROUP BY c_custkey)
+SELECT c_custkey, CASE WHEN bal < 0 OR gap <= abs(bal) / 5000 + 1e-4 THEN label END AS label FROM n""")
+def nearest_within(spark, sf_dir):
+    """The nearest speaker, if it is near enough."""
+    spk = registry.Registry().speakers(spark).filter("layout_id = '4+5+0'").select("spk_ord", "label", "azimuth", "elevation", "is_lfe")
+    gap = lambda p: geometry.chord(geometry.unit_vector(F.col("az"), F.col("el")), geometry.unit_vector(p["azimuth"], p["elevation"]))
+    most = F.when(F.col("bal") >= 0, F.abs("bal") / 5000)
+    return lookups.nearest_within(_directions(spark, sf_dir), spk, gap, "label", "spk_ord", most).select("c_custkey", "label")
+
+
+@query("""SELECT o_custkey, round(coalesce(sum(v) FILTER (NOT low), 0), 4) AS mix, round(greatest(abs(coalesce(sum(v) FILTER (NOT low), 0)), coalesce(max(abs(v)) FILTER (low), 0)), 4) AS peak
+  FROM (SELECT o_custkey, o_totalprice * (o_orderkey % 3 - 1) AS v, o_orderkey % 4 = 3 AS low FROM orders) GROUP BY o_custkey""")
+def lfe_separation(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_totalprice") * (F.col("o_orderkey") % 3 - 1)).alias("v"), (F.col("o_orderkey") % 4 == 3).alias("low"))
+    out = mixing.lfe_apart(orders, ["o_custkey"], F.col("low"), F.col("v"))
+    return out.select("o_custkey", F.round("mix", 4).alias("mix"), F.round("peak", 4).alias("peak"))

@@ -6,12 +6,16 @@ their ordinals. Times are samples; an open end is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import track_uid
 from ..operators.lookups import chained, least_start, with_fallback
 from ..operators.timeline import nanos_to_samples, saturating_add
+from .pcm import channel_uids, layout, text_chunk
 
 _POSITION = "array<struct<_coordinate: string, _VALUE: double>>"
 _BLOCK = (
@@ -147,3 +151,51 @@ def object_blocks(docs: DataFrame, chna: DataFrame) -> DataFrame:
         F.when(F.col("object_duration").isNotNull(), saturating_add(F.col("start"), F.col("object_duration"))),
     )
     return out.withColumns({"start_sample": begin, "end_sample": end}).drop("start", "rtime", "duration", "object_duration")
+
+
+#: The types that have tables here.
+KNOWN_TYPES = ("DirectSpeakers", "HOA", "Objects")
+
+
+def skipped_types(docs: DataFrame) -> DataFrame:
+    """``scene_id, skipped``: the types of channels that an import leaves out, each once, in order."""
+    kinds = _each(docs, "audioChannelFormat", "k").select("scene_id", F.col("x._typeDefinition").alias("type"))
+    left = kinds.filter(F.col("type").isNotNull() & ~F.col("type").isin(*KNOWN_TYPES))
+    return left.groupBy("scene_id").agg(F.array_sort(F.collect_set("type")).alias("skipped"))
+
+
+def import_scenes(spark: SparkSession, paths: list[str], parts: int | None = None) -> dict[str, DataFrame]:
+    """Scene tables of wave files that carry a description: ``files, objects,
+    membership, tracks, blocks, skipped``.
+
+    Tasks read the files' metadata chunks, from a folder that all of them see;
+    samples are read by the ``pcm`` source. A file without a description is an
+    error that names it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                text = text_chunk(path)
+                if text is None:
+                    raise ValueError(f"no scene description in {path}")
+                at = layout(path)
+                uids = [{"uid": u, "channel": c} for u, c in channel_uids(path).items()]
+                name = os.path.splitext(os.path.basename(path))[0]
+                rows.append({"scene_id": name, "path": path, "sample_rate": at.rate, "channels": at.channels, "frames": at.frames,
+                             "axml": text.decode("utf-8").rstrip("\0"), "uids": uids})
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    kinds = pa.schema([("scene_id", pa.string()), ("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()),
+                       ("axml", pa.string()), ("uids", pa.list_(pa.struct([("uid", pa.string()), ("channel", pa.int32())])))])
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(parts or max(1, len(paths)))
+    schema = "scene_id string, path string, sample_rate int, channels int, frames long, axml string, uids array<struct<uid: string, channel: int>>"
+    files = listed.mapInArrow(run, schema)
+    docs = parsed(files)
+    chna = files.select("scene_id", F.explode("uids").alias("u")).select("scene_id", "u.uid", "u.channel")
+    objs = started(objects(docs))
+    return {
+        "files": files.drop("axml", "uids"), "objects": objs, "membership": membership(docs), "tracks": tracks(docs, objs, chna),
+        "blocks": object_blocks(docs, chna), "skipped": skipped_types(docs),
+    }

@@ -1,3 +1,6 @@
+import struct
+
+import pytest
 from pyspark.sql import functions as F
 
 from auralake.sources import scene
@@ -32,3 +35,25 @@ def test_scene_tables(spark):
     ]
     assert (rows[0]["azimuth"], rows[0]["elevation"]) == (30.0, -5.5) and rows[1]["x"] == 1.0 and rows[1]["jump"] and rows[2]["labels"] == ["M+030"]
     assert spark.range(1).select(scene.nanos(F.lit("01:00:00.5")).alias("n"), scene.nanos(F.lit("x")).alias("b")).head()["n"] == 3600_500_000_000
+
+
+def bw64(text: bytes, uids: list[str], frames=100):
+    chunk = lambda name, data: name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    chna = struct.pack("<HH", len(uids), len(uids)) + b"".join(struct.pack("<H12s14s11sx", k + 1, u.encode(), b"", b"") for k, u in enumerate(uids))
+    body = b"WAVE" + chunk(b"fmt ", struct.pack("<HHIIHH", 1, 2, 1000, 4000, 4, 16)) + (chunk(b"axml", text) if text else b"") + chunk(b"chna", chna) + chunk(b"data", bytes(4 * frames))
+    return b"BW64" + struct.pack("<I", len(body)) + body
+
+
+def test_import_from_files(spark, tmp_path):
+    text = AXML.replace('audioChannelFormatID="F2" typeDefinition="DirectSpeakers"', 'audioChannelFormatID="F2" typeDefinition="Matrix"')
+    (tmp_path / "a.wav").write_bytes(bw64(AXML.encode(), ["ATU_9", "atu_1"]))
+    (tmp_path / "b.wav").write_bytes(bw64(text.encode(), ["ATU_1"]))
+    got = scene.import_scenes(spark, [str(tmp_path / "a.wav"), str(tmp_path / "b.wav")])
+    assert [tuple(r) for r in got["files"].select("scene_id", "sample_rate", "channels", "frames").orderBy("scene_id").collect()] == [("a", 1000, 2, 100), ("b", 1000, 2, 100)]
+    assert {(r["scene_id"], r["object_id"], r["start"]) for r in got["objects"].collect()} == {(s, o, t) for s in "ab" for o, t in (("O1", 1000), ("O2", 1500))}
+    assert {(r["scene_id"], r["uid"], r["channel"]) for r in got["tracks"].collect()} == {("a", "ATU_1", 1), ("a", "ATU_2", None), ("b", "ATU_1", 0), ("b", "ATU_2", None)}
+    assert got["blocks"].count() == 6 and got["membership"].count() == 2
+    assert [tuple(r) for r in got["skipped"].collect()] == [("b", ["Matrix"])]
+    (tmp_path / "c.wav").write_bytes(bw64(b"", []))
+    with pytest.raises(Exception, match="no scene description in .*c.wav"):
+        scene.import_scenes(spark, [str(tmp_path / "c.wav")])["files"].collect()
