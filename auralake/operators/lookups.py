@@ -86,13 +86,14 @@ def least_start(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> Da
     raise ValueError("the objects form a cycle, or are nested too deep")
 
 
-def kth_pairs(df: DataFrame, stem: str, side: str, ord_: str, left="L", right="R") -> DataFrame:
-    """Pairs the k-th left with the k-th right row of each stem in list order."""
+def kth_pairs(df: DataFrame, stem: str, side: str, ord_: str, left="L", right="R", singles: bool = False) -> DataFrame:
+    """Pairs the k-th left with the k-th right row of each stem in list order;
+    with ``singles`` those without a partner stay, the other side null."""
     w = Window.partitionBy(stem, side).orderBy(ord_)
     ranked = df.withColumn("_k", F.row_number().over(w))
     a = ranked.filter(F.col(side) == left).select(stem, "_k", F.col(ord_).alias("left_ord"))
     b = ranked.filter(F.col(side) == right).select(stem, "_k", F.col(ord_).alias("right_ord"))
-    return a.join(b, [stem, "_k"]).drop("_k")
+    return a.join(b, [stem, "_k"], "full" if singles else "inner").drop("_k")
 
 
 def changed_fields(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

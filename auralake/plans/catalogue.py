@@ -256,3 +256,15 @@ def lfe_separation(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_totalprice") * (F.col("o_orderkey") % 3 - 1)).alias("v"), (F.col("o_orderkey") % 4 == 3).alias("low"))
     out = mixing.lfe_apart(orders, ["o_custkey"], F.col("low"), F.col("v"))
     return out.select("o_custkey", F.round("mix", 4).alias("mix"), F.round("peak", 4).alias("peak"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand || '_' || CASE WHEN p_size % 3 = 0 THEN 'L' ELSE 'r' END AS name FROM part),
+s AS (SELECT p_partkey, left(name, length(name) - 2) AS stem, upper(right(name, 1)) AS side FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY stem, side ORDER BY p_partkey) AS k FROM s)
+SELECT coalesce(a.stem, b.stem) AS stem, a.p_partkey AS left_ord, b.p_partkey AS right_ord FROM (SELECT * FROM r WHERE side = 'L') a FULL JOIN (SELECT * FROM r WHERE side = 'R') b
+  ON a.stem = b.stem AND a.k = b.k""")
+def stem_groups(spark, sf_dir):
+    """Objects by their stems in pairs, and those that are left over."""
+    name = F.concat("p_brand", F.when(F.col("p_size") % 3 == 0, "_L").otherwise("_r"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", labels.stem_and_side(name).alias("x")).select("p_partkey", "x.*")
+    return lookups.kth_pairs(parts, "stem", "side", "p_partkey", singles=True)
