@@ -172,7 +172,22 @@ def union_blocks(spark, sf_dir):
     return a.unionByName(b).unionByName(c, allowMissingColumns=True)
 
 
-@query()
+def _k_weighted_sql(rate: float) -> str:
+    """Sample by sample: the two filters' states as columns of a recursion."""
+    (b0, b1, b2, a1, a2), (c0, c1, c2, d1, d2) = (x.tolist() for x in metering.k_weighting(rate))
+    y1 = f"({b0!r} * x + s1)"
+    y2 = f"({c0!r} * {y1} + t1)"
+    return f"""o AS (SELECT user_id, value / 1000 AS x, row_number() OVER (PARTITION BY user_id ORDER BY s, value) AS k FROM ev),
+f(user_id, k, s1, s2, t1, t2, y) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM o
+  UNION ALL SELECT o.user_id, o.k, {b1!r} * x - ({a1!r}) * {y1} + s2, {b2!r} * x - ({a2!r}) * {y1}, ({c1!r}) * {y1} - ({d1!r}) * {y2} + t2, {c2!r} * {y1} - ({d2!r}) * {y2}, {y2}
+  FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {EV}, {_k_weighted_sql(4000.0)},
+h AS (SELECT user_id, (k - 1) // 20 AS hop, sum(y * y) / count(*) AS e FROM f WHERE k > 0 GROUP BY ALL),
+w AS (SELECT user_id, hop - j AS w, avg(e) AS energy FROM h, range(4) t(j) GROUP BY ALL),
+l AS (SELECT *, avg(energy) OVER (PARTITION BY user_id) * 0.1 AS gate FROM w WHERE energy > pow(10, (-70 + 0.691) / 10))
+SELECT user_id, round(-0.691 + 10 * log10(avg(energy)), 3) AS lufs, count(*) AS windows FROM l WHERE energy > gate GROUP BY user_id""")
 def kweight_loudness(spark, sf_dir):
     """Gated loudness of each user's values as a signal of 50 samples a second, 20 in a hop."""
     signal = block_events(spark, sf_dir).select("user_id", "s", (F.col("value") / 1000).alias("x"))
