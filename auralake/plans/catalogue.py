@@ -185,13 +185,13 @@ def trim_frames(spark, sf_dir):
 @query(f"""WITH {EV}, e AS (SELECT *, sum(CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, event_id) AS epoch FROM ev),
 w AS (SELECT user_id, epoch, s // {HOUR} AS h, avg(value * value) AS energy FROM e GROUP BY ALL),
 l AS (SELECT *, avg(energy) OVER (PARTITION BY user_id, epoch) * 0.5 AS gate FROM w WHERE energy > 100)
-SELECT user_id, CAST(epoch AS BIGINT) AS epoch, round(avg(energy), 3) AS energy, count(*) AS windows FROM l WHERE energy > gate GROUP BY ALL""")
+SELECT user_id, CAST(epoch AS BIGINT) AS epoch, round(avg(energy) + 1e-7, 4) AS energy, count(*) AS windows FROM l WHERE energy > gate GROUP BY ALL""")
 def loudness_since_seek(spark, sf_dir):
     """Gated energy of what was heard since the last seek."""
     ev = metering.since_seek(block_events(spark, sf_dir), ["user_id"], ["s", "event_id"], F.col("event_id") % 20 == 0)
     windows = metering.hopped(ev, ["user_id", "epoch"], "s", F.col("value") * F.col("value"), HOUR, HOUR)
     out = metering.gated(windows, ["user_id", "epoch"], 100.0, 0.5)
-    return out.select("user_id", "epoch", F.round("energy", 3).alias("energy"), "windows")
+    return out.select("user_id", "epoch", F.round(F.col("energy") + 1e-7, 4).alias("energy"), "windows")
 
 
 _PHASES = metering.oversampler(4, 3).tolist()
