@@ -41,7 +41,7 @@ from .common import in_groups, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: bytes, and rows, that are scored together
-CHUNK, ROWS = 1 << 20, 512
+CHUNK, ROWS = 1 << 19, 512
 
 
 def fold(column: str, modulus: int):
@@ -99,7 +99,7 @@ def count_grams(docs: DataFrame, size: int) -> DataFrame:
     """``lang, gram, n``: byte n-grams (up to 8 bytes, big-endian in a long)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (g for b in batches for g in in_groups(b, 1, ROWS, CHUNK)):
             found: dict = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = bytes(size - 1) + text.as_py().encode("utf-8", "surrogatepass").translate(LOWER)
