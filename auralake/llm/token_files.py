@@ -115,7 +115,7 @@ class Codes:
 
 
 def write_token_files(
-    docs: DataFrame, end_id: int = 0, path: str | None = None, block_tokens: int = 1 << 17
+    docs: DataFrame, end_id: int = 0, path: str | None = None, block_tokens: int = 1 << 14
 ) -> DataFrame:
     """Write the ids of all documents; returns the table of blocks as written
     (``BLOCKS``). ``part_start``: ids before the block in its part."""
@@ -150,7 +150,9 @@ def write_token_files(
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    as_they_are = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+    # pages of a few blocks, so that neither a writer nor a reader holds much of a file
+    check = {f"parquet.{x}.row.check.{y}": "16" for x in ("page.size", "block.size") for y in ("min", "max")}
+    as_they_are = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)} | check
     return staged(ordered.mapInArrow(run, BLOCKS), "token_files", "none", **as_they_are)
 
 
