@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,29 +112,30 @@ def mirror_groups(channels: DataFrame, bed: list[str], ord_: str, az: str, el: s
     In list order, a channel off the middle takes the first one after it at the
     opposite azimuth and the same elevation, to less than ``tolerance`` degrees,
     that is still free; what finds no partner, or has no position, is alone
-    (``right_ord`` null). A bed is one object's channels, a few dozen at most.
+    (``right_ord`` null). A bed is one object's channels, a few dozen at most:
+    they are one row, in which a fold keeps those that are still free.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in channels.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in bed) + f", left_ord {kinds[ord_]}, right_ord {kinds[ord_]}"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(ord_)[[ord_, az, el]].itertuples(index=False, name=None)
-        free, out = list(rows), []
-        while free:
-            o, a, e = free.pop(0)
-            near = (k for k, (_, b, f) in enumerate(free) if abs(a + b) < tolerance and abs(e - f) < tolerance)
-            k = next(near, None) if abs(a) > tolerance else None
-            if k is None:
-                out.append((o, None))
-            else:
-                p = free.pop(k)[0]
-                out.append((o, p) if a >= 0 else (p, o))
-        found = pd.DataFrame(out, columns=["left_ord", "right_ord"]).astype("Int64")
-        for c in reversed(bed):
-            found.insert(0, c, pdf[c].iloc[0])
-        return found
-
-    return channels.select(*bed, ord_, az, el).groupBy(*bed).applyInPandas(run, schema)
+    lists = channels.groupBy(*bed).agg(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("o"), F.col(az).alias("a"), F.col(el).alias("e")))).alias("_c"))
+
+    def paired(state: Column, first: Column) -> Column:
+        rest = F.slice(state["free"], 2, F.size("_c"))
+        near = lambda y: (F.abs(first["a"] + y["a"]) < tolerance) & (F.abs(first["e"] - y["e"]) < tolerance)
+        at = F.array_position(F.transform(rest, lambda y: F.coalesce(near(y), F.lit(False))), True)
+        off = F.coalesce(F.abs(first["a"]) > tolerance, F.lit(False))
+
+        def taken(k: Column) -> Column:
+            other = F.when(k > 0, F.get(rest, (k - 1).cast("int"))["o"])
+            left, right = F.when((k == 0) | (first["a"] >= 0), first["o"]).otherwise(other), F.when((k == 0) | (first["a"] >= 0), other).otherwise(first["o"])
+            free = F.filter(rest, lambda _, i: i != k - 1)
+            return F.struct(free.alias("free"), F.concat(state["out"], F.array(F.struct(left.alias("left_ord"), right.alias("right_ord")))).alias("out"))
+
+        return F.transform(F.array(F.when(off, at).otherwise(F.lit(0).cast("long"))), taken)[0]
+
+    kind = channels.schema[ord_].dataType.simpleString()
+    none = F.array().cast(f"array<struct<left_ord: {kind}, right_ord: {kind}>>")
+    step = lambda state, x: F.when(F.get(state["free"], F.lit(0))["o"].eqNullSafe(x["o"]), paired(state, x)).otherwise(state)
+    found = F.aggregate("_c", F.struct(F.col("_c").alias("free"), none.alias("out")), step)["out"]
+    return lists.select(*bed, F.explode(found).alias("g")).select(*bed, "g.left_ord", "g.right_ord")
 
 
 def overriding(overrides: DataFrame, keys: list[str], label: str, ord_: str, values: list[str]) -> DataFrame:

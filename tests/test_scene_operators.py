@@ -111,3 +111,13 @@ def test_overlap_add_with_empty_and_short_blocks(spark):
     rows = [("a", k, x[lo:hi].tolist()) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
     out = metering.overlap_add(spark.createDataFrame(rows, "ch string, n int, s array<double>"), ["ch"], "n", "s", kernel)
     assert np.concatenate([r["s"] for r in out.orderBy("n").collect()]) == pytest.approx(want, abs=1e-9)
+
+
+def test_many_small_beds_are_paired_without_a_python_call_each(spark):
+    n = 150_000
+    places = F.expr("inline(arrays_zip(array(0, 1, 2, 3), array(30D, -30D, 0D, 110D), array(0D, 0D, 0D, 0D))) AS (ord, az, el)")
+    out = lookups.mirror_groups(spark.range(n).select(F.col("id").alias("bed"), places), ["bed"], "ord", "az", "el")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+    got = {(r["left_ord"], r["right_ord"]): r["count"] for r in out.groupBy("left_ord", "right_ord").count().collect()}
+    assert got == {(0, 1): n, (2, None): n, (3, None): n}
