@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,8 +64,9 @@ def least_start(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> Da
     """Smallest accumulated start of every node reached from ``roots``.
 
     ``edges``: ``parent, child, offset``; ``roots``: ``node, start``. Relaxes
-    until nothing gets smaller; each round is written out, so a long chain
-    neither grows the plan nor recomputes what a lost executor held.
+    until nothing gets smaller, in each round only from nodes that got smaller
+    in the one before; each round is written out, so a long chain neither grows
+    the plan nor recomputes what a lost executor held, and so are the edges.
     """
     spark = roots.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -72,16 +74,16 @@ def least_start(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> Da
         if not shared and not (spark.sparkContext.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="auralake-"))
-    best = roots.groupBy("node").agg(F.min("start").alias("start")).checkpoint()
+    edges = edges.select("parent", "child", "offset").checkpoint()
+    found = [roots.groupBy("node").agg(F.min("start").alias("start")).checkpoint()]
     for _ in range(most_rounds):
-        step = best.join(edges, best["node"] == edges["parent"]).select(
-            F.col("child").alias("node"), (F.col("start") + F.col("offset")).alias("start")
-        )
-        new = best.unionByName(step).groupBy("node").agg(F.min("start").alias("start")).checkpoint()
-        same = new.join(best, ["node", "start"], "left_anti").isEmpty()
-        best = new
-        if same:
-            return best
+        near = found[-1].join(edges, F.col("node") == F.col("parent")).groupBy("child").agg(F.min(F.col("start") + F.col("offset")).alias("start"))
+        known = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("start").alias("was"))
+        less = near.join(known, F.col("child") == F.col("node"), "left").filter("start IS NOT NULL AND (was IS NULL OR start < was)")
+        less = less.select(F.col("child").alias("node"), "start").checkpoint()
+        if less.isEmpty():
+            return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("start").alias("start"))
+        found.append(less)
     raise ValueError("the objects form a cycle, or are nested too deep")
 
 

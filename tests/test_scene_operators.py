@@ -139,3 +139,13 @@ def test_true_peaks_of_many_signals_in_one_batch(spark):
     out = metering.true_peaks(spark.createDataFrame(rows, "ch int, n int, s array<double>").coalesce(1), ["ch"], "n", "s", 4, 3)
     want = {c: metering.true_peak(np.array([e or 0.0 for e in v]), 4, 3) for c, v in x.items()}
     assert {p["ch"]: p["peak"] for p in out.collect()} == pytest.approx(want)
+
+
+def test_starts_through_a_nest_that_is_reached_again_later(spark):
+    edges = [(1, 2, 10), (2, 3, 10), (1, 4, 1), (4, 5, 1), (5, 2, 1), (3, 1, 5), (9, 3, 0), (None, 3, 0)]
+    df = spark.createDataFrame(edges, "parent long, child long, offset long")
+    read = spark.sparkContext.accumulator(0)
+    seen = df.select(F.udf(lambda p: read.add(1) or p, "long")("parent").alias("parent"), "child", "offset")
+    got = lookups.least_start(seen, spark.createDataFrame([(1, 0), (1, 7), (9, 40)], "node long, start long"))
+    assert {r["node"]: r["start"] for r in got.collect()} == {1: 0, 2: 3, 3: 13, 4: 1, 5: 2, 9: 40}
+    assert read.value <= 2 * len(edges)  # not made anew in each round; a checkpoint may read twice
