@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(df: DataFrame, rows: int = 250_000) -> int:
+    """Partitions to deal a table's rows over, so that a task's memory does not grow with the
+    table. Of a table as it is read, its files know the count."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def millis(c: str) -> Column:
     """Milliseconds of a timestamp without a zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))")

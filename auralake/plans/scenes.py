@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, harmonics, labels, levels
 from ..operators import lookups, mixing, prefixes, rules
 from ..sources import registry
-from .base import query, table
+from .base import parts_of, query, table
 
 RULES = """(0, '*1?', NULL, NULL, 0.5, 1.0), (1, NULL, 'BUILDING', NULL, 0.8, NULL), (2, 'customer#*77', NULL, NULL, NULL, -6.0),
 (3, NULL, NULL, 5000, 1.25, NULL), (4, '', NULL, NULL, 9.0, 9.0), (5, 'nobody*', NULL, NULL, 2.0, NULL), (6, NULL, 'HOUSEHOLD', 9000, NULL, 3.0)"""
@@ -114,15 +114,16 @@ def min_start_propagation(spark, sf_dir):
   JOIN nation ON n_nationkey = c_nationkey), alt AS (SELECT DISTINCT l_orderkey, 'supplier' AS via, n_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
   JOIN nation ON n_nationkey = s_nationkey) SELECT * FROM chain UNION ALL SELECT * FROM alt WHERE l_orderkey NOT IN (SELECT o_orderkey FROM chain)""")
 def fallback_chain(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    parts = parts_of(lines)
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customer = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
     chain = (
         table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", F.lit("customer").alias("via"), "n_name")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", F.lit("customer").alias("via"), "n_name").repartition(parts, "o_orderkey")
     )
     alt = (
-        table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
-        .join(chain, "o_orderkey", "left_anti").distinct().join(table(spark, sf_dir, "supplier"), "s_suppkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        lines.repartition(parts, "o_orderkey").join(chain, "o_orderkey", "left_anti").join(table(spark, sf_dir, "supplier"), "s_suppkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", F.lit("supplier").alias("via"), "n_name").distinct()
     )
     return lookups.with_fallback(chain, ["o_orderkey"], alt)
