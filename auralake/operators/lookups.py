@@ -148,11 +148,14 @@ def overriding(overrides: DataFrame, keys: list[str], label: str, ord_: str, val
     return best.select(*keys, *(F.col(f"_o.{v}").alias(v) for v in values))
 
 
-def padded_slots(events: DataFrame, track: list[str], block: list[str], slot: str) -> DataFrame:
+def padded_slots(events: DataFrame, track: list[str], block: list[str], slot: str, parts: int | None = None) -> DataFrame:
     """Every block of a track with as many slots as its fullest block; those that
-    it lacks are rows with nulls (``silent``)."""
+    it lacks are rows with nulls (``silent``). ``parts``: partitions that the slots
+    are dealt over, so that a task sorts a bounded number of them."""
     most = events.groupBy(*track).agg((F.max(slot) + 1).alias("_n"))
     every = events.select(*track, *block).distinct().join(most, track)
     every = every.withColumn(slot, F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")))).drop("_n")
     marked = events.withColumn("_real", F.lit(True))
+    if parts:
+        every, marked = (df.repartition(parts, *track, *block, slot) for df in (every, marked))
     return every.join(marked, [*track, *block, slot], "left").withColumn("silent", F.col("_real").isNull()).drop("_real")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, harmonics, labels
 from ..operators import lookups, metering, mixing, timeline
 from ..sources import registry
-from .base import EFF, EV, HOUR, block_events, query, table
+from .base import EFF, EV, HOUR, block_events, parts_of, query, table
 from .scenes import _CHORD, DIRECTIONS, SPEAKERS, _directions, _values
 from .timelines import _effective
 
@@ -72,9 +72,12 @@ SELECT o_custkey, o_orderkey, slot, l_quantity AS gain, l_quantity IS NULL AS si
 def slot_padding(spark, sf_dir):
     """All blocks of a track with as many slots as the fullest one."""
     w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    parts = parts_of(lines)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
+    lines = lines.repartition(parts, "o_orderkey").join(orders, "o_orderkey")
     events = lines.select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).alias("slot"), F.col("l_quantity").alias("gain"))
-    return lookups.padded_slots(events, ["o_custkey"], ["o_orderkey"], "slot").select("o_custkey", "o_orderkey", F.col("slot").cast("long").alias("slot"), "gain", "silent")
+    return lookups.padded_slots(events, ["o_custkey"], ["o_orderkey"], "slot", parts).select("o_custkey", "o_orderkey", F.col("slot").cast("long").alias("slot"), "gain", "silent")
 
 
 @query("""SELECT n_nationkey, coalesce(string_agg(r, ',' ORDER BY k), '') AS supported_by FROM nation LEFT JOIN

@@ -44,3 +44,17 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(plain(x[names.index(c)]) for c in columns) for x in result.fetchall()), key=repr)
     assert got == want and got
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["fallback_chain", "slot_padding"])
+def test_rows_are_dealt_by_their_number(spark, name, monkeypatch):
+    """What a task joins and sorts does not grow with the table."""
+    from auralake.plans import catalogue, scenes
+
+    for module in (catalogue, scenes):
+        monkeypatch.setattr(module, "parts_of", lambda df: -(-df.count() // 100))
+    plan = entry.library.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 100)
+    joins = plan.count("SortMergeJoin")
+    assert joins and plan.count(f", {n}), REPARTITION_BY_NUM") >= 2
