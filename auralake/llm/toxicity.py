@@ -236,9 +236,21 @@ def fit(rows: list[tuple[str | None, int]], prior: float, rounds: int = 30, supp
     return Model(weights, float(bias), links, logistic(x, labels, weight), prior)
 
 
-def train(labelled: DataFrame, sample: tuple[int, int] = (1500, 3000), sample_bytes: int = 64 << 20, **options) -> Model:
-    """Learn from ``doc_id``, ``text`` and ``toxic`` (0 or 1) of ``labelled``."""
-    known = labelled.filter("toxic IN (0, 1)").withColumn("_h", F.xxhash64("doc_id", "text"))
+def without_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_h, _b`` for ``text``: what tells a row apart, and the bytes of its text."""
+    length = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return docs.withColumns({"_h": F.xxhash64("doc_id", "text"), "_b": length}).drop("text")
+
+
+def train(docs: DataFrame, labels: DataFrame | None = None, sample: tuple[int, int] = (1500, 3000), sample_bytes: int = 64 << 20, **options) -> Model:
+    """Learn from ``doc_id``, ``text`` of ``docs`` and their ``toxic`` (0 or 1), there or in ``labels``.
+
+    Labels meet rows without their texts; only the sample's rows, a bounded
+    number, are broadcast to fetch theirs."""
+    known = without_texts(docs)
+    if labels is not None:
+        known = known.join(labels.select("doc_id", "toxic"), "doc_id")
+    known = known.filter("toxic IN (0, 1)")
     sizes = known.groupBy("toxic").agg(
         F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_h").alias("_d"), F.min("_h").alias("_lo")
     )
@@ -246,8 +258,7 @@ def train(labelled: DataFrame, sample: tuple[int, int] = (1500, 3000), sample_by
     most = F.when(F.col("toxic") == 1, sample[0]).otherwise(sample[1])
     # a hash below this keeps about twice the rows that are taken, and always one; two rows of sizes, two kinds
     share = (F.col("_h") / 2.0**64 + 0.5) * F.col("_d") < 2.0 * most
-    length = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_b")
-    near = known.select("toxic", "_h", length).join(F.broadcast(sizes), "toxic").filter(share | (F.col("_h") == F.col("_lo")))
+    near = known.select("toxic", "_h", "_b").join(F.broadcast(sizes), "toxic").filter(share | (F.col("_h") == F.col("_lo")))
     found = near.groupBy("toxic").agg(F.slice(F.sort_array(F.collect_set(F.struct("_h", "_b"))), 1, max(sample)).alias("first"))
     cuts = []
     for r in found.collect():
@@ -259,7 +270,10 @@ def train(labelled: DataFrame, sample: tuple[int, int] = (1500, 3000), sample_by
             cut = h
         if cut is not None:
             cuts.append(f"(toxic = {int(r['toxic'])} AND _h <= {cut})")
-    rows = known.filter(" OR ".join(cuts) or "false").select("toxic", "_h", "text").dropDuplicates(["toxic", "_h"]).collect()
+    chosen = known.filter(" OR ".join(cuts) or "false").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_t"), "_h").distinct()
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_own"))
+    texts = texts.join(F.broadcast(chosen), F.col("_own").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = texts.select(F.col("_t").alias("toxic"), "_h", "text").dropDuplicates(["toxic", "_h"]).collect()
     kept = [(t or "", y) for y, _, t in sorted((r["toxic"], r["_h"], r["text"]) for r in rows)]
     total = sum(counts.values())
     return fit(kept, counts.get(1, 0) / total if total else 0.0, **options)
@@ -334,7 +348,7 @@ def score_documents(docs: DataFrame, model: Model, group: int = 500, group_bytes
 def learned(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model of the labels that are not held out (crc32 mod 5 is 0)."""
     own = labels.filter(fold("doc_id", 5) != 0).select("doc_id", "toxic")
-    return train(docs.select("doc_id", "text").join(own, "doc_id"), **options)
+    return train(docs.select("doc_id", "text"), own, **options)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

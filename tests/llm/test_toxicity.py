@@ -127,3 +127,17 @@ def test_labels_and_rows_that_repeat(spark):
     assert twice.count() == 10
     tight = train(docs, sample_bytes=1)  # not one text fits: nothing is learned, every score is the share of toxic ones
     assert score_texts(["grobian"], tight)[0]["score"] == pytest.approx(sum(y for _, y in rows) / len(rows))
+
+
+def test_labels_meet_no_texts(spark, monkeypatch):
+    from auralake.llm import toxicity
+
+    rows = corpus(200)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    seen = []
+    whole = toxicity.without_texts
+    monkeypatch.setattr(toxicity, "without_texts", lambda df: seen.append(whole(df)) or seen[-1])
+    got, want = train(docs, labels, sample=(20, 30)), train(docs.join(labels, "doc_id"), sample=(20, 30))
+    assert got.weights == want.weights and got.bias == want.bias and got.prior == want.prior
+    assert all("text" not in df.columns for df in seen) and len(seen) == 2
